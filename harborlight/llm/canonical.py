@@ -17,12 +17,12 @@ LATIN_TWIN = "ABEKMHOPCTYXSIJYaeopcyxsijhdqwlËÏëïABEZHIKMNOPTYXocjoĐĐ--."
 # Full-width signs outside the block that follows by rule.
 WIDE, PLAIN = "￠￡￢￤￥￦", "¢£¬¦¥₩"
 #: All white space beyond what ASCII has; it looks like one space.
-SPACES = "                 　\u0085"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _FROM = LOOK_ALIKE + WIDE + _FULL + SPACES
 _TO = LATIN_TWIN + PLAIN + "".join(chr(ord(c) - 0xFEE0) for c in _FULL) + " " * len(SPACES)
 #: What doesn't show: format and control characters but white space and joined emoji, fillers and variation selectors.
-_HIDDEN = r"(?:(?!‍)[\p{Cf}\p{Cc}&&[^\s\x{85}]]|(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])‍|[͏ᅟᅠㅤﾠ︀-️])+"
+_HIDDEN = r"(?:(?!\x{200D})[\p{Cf}\p{Cc}&&[^\s\x{85}]]|(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])\x{200D}|[\x{34F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}])+"
 
 
 @F.pandas_udf(T.StringType())

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..tables import table
 
 LEVELS = ("paragraph", "sentence", "word")
-_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])"
+_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 _ENDS = {
-    "paragraph": re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]*{_BREAK})+"),
+    "paragraph": re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_BREAK})+"),
     "sentence": re.compile(rf"[.!?…]+(?=\s)|[。！？]+|{_BREAK}"),
     "word": re.compile(r"\s+"),
 }
