@@ -25,6 +25,11 @@ _TO = LATIN_TWIN + PLAIN + "".join(chr(ord(c) - 0xFEE0) for c in _FULL) + " " *
 _HIDDEN = r"(?:(?!\x{200D})[\p{Cf}\p{Cc}&&[^\s\x{85}]]|(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])\x{200D}|[\x{34F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}])+"
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+
+
 @F.pandas_udf(T.StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
@@ -34,14 +39,13 @@ def look_alike(text: Column) -> Column:
     """The text with hidden characters taken out, every character replaced by the plainest one that looks like it, runs of
     white space as one space, none at the ends. Null gives null. Case, accents and punctuation stay.
 
-    Only texts with combining marks go through Python: a mark of a lower class behind a composed letter isn't reordered by
-    the collation, so these are composed first, before and after the mapping.
+    Only texts with combining marks, or with Cyrillic or Greek letters, go through Python: their letters are mapped apart
+    from their marks and composed again, as the collation doesn't reorder a mark behind a composed letter.
     """
-    def compose(x: Column) -> Column:
-        return F.coalesce(_composed(F.when(x.rlike(r"[\p{M}\x{1100}-\x{11FF}]"), x)), x)
-
-    shown = F.regexp_replace(text, _HIDDEN, "")
-    return compose(F.trim(F.regexp_replace(F.translate(compose(shown), _FROM, _TO), r"\s+", " ")))
+    marked = text.rlike(r"[\p{M}\x{370}-\x{52F}\x{1100}-\x{11FF}]")
+    apart = F.coalesce(_decomposed(F.when(marked, text)), text)
+    mapped = F.trim(F.regexp_replace(F.translate(F.regexp_replace(apart, _HIDDEN, ""), _FROM, _TO), r"\s+", " "))
+    return F.coalesce(_composed(F.when(marked, mapped)), mapped)
 
 
 def _values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
