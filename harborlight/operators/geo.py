@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import cut_lineage, table
 
 #: Fixed value: the mean radius of the earth in km.
 EARTH_KM = 6371.0088
@@ -21,22 +21,11 @@ _FLAT = 26  # by axis of the latitude-longitude plane
 COVER_CELLS = 96
 
 
-def _spread(v: Column, steps: list[tuple[int, int]]) -> Column:
-    return reduce(lambda x, s: x.bitwiseOR(F.shiftleft(x, s[0])).bitwiseAND(F.lit(s[1])), steps, v.cast("long"))
-
-
-_SPREAD3 = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
-
-
-def _interleave(*axes: str) -> Column:
-    """The code of indices whose bits are spread."""
-    return reduce(lambda code, k: code.bitwiseOR(F.shiftleft(F.col(axes[k]), k)), range(1, len(axes)), F.col(axes[0]))
-
-
-def _morton2(x: Column, y: Column) -> Column:
-    """Interleaved bits of two indices of up to 26 bits."""
-    steps = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
-    return _spread(x, steps).bitwiseOR(F.shiftleft(_spread(y, steps), 1))
+def _interleave(axes: list[str], bits: int) -> Column:
+    """The Morton code of the indices in the columns ``axes``: their bits by turns, the lowest of the first axis lowest."""
+    n = len(axes)
+    terms = [F.shiftleft(F.shiftright(F.col(a), b).bitwiseAND(F.lit(1)), n * b + k) for b in range(bits) for k, a in enumerate(axes)]
+    return reduce(lambda x, y: x.bitwiseOR(y), terms, F.lit(0).cast("long"))
 
 
 def _cube(lat: str, lon: str) -> list[Column]:
@@ -75,15 +64,13 @@ def within_distance(points: DataFrame, centres: DataFrame, km: float) -> DataFra
         raise ValueError("km must be positive")
     level = max(0, min(_BITS, math.floor(math.log2(EARTH_KM / km))))
     reach = km / EARTH_KM + 1e-9
-    # in steps, so that no expression is written out twice in the generated code
     axes = dict(zip("xyz", _cube("lat", "lon")))
-    bits = lambda x: _spread(_index(x, level), _SPREAD3)
-    a = points.select("id", "lat", "lon", *(v.alias(k) for k, v in axes.items())).select("id", "lat", "lon", *(bits(F.col(k)).alias(k) for k in axes))
-    a = a.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), _interleave("x", "y", "z").alias("cell"))
-    b = centres.select("id", "lat", "lon", *(v.alias(k) for k, v in axes.items())).select("id", "lat", "lon", *(F.array_distinct(F.array(bits(F.col(k) - reach), bits(F.col(k) + reach))).alias(k) for k in axes))
+    a = points.select("id", "lat", "lon", *(_index(v, level).alias(k) for k, v in axes.items()))
+    a = a.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), _interleave([*axes], level).alias("cell"))
+    b = centres.select("id", "lat", "lon", *(v.alias(k) for k, v in axes.items()))
     for k in axes:
-        b = b.withColumn(k, F.explode(k))
-    b = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), _interleave("x", "y", "z").alias("cell"))
+        b = b.withColumn(k, F.explode(F.array_distinct(F.array(_index(F.col(k) - reach, level), _index(F.col(k) + reach, level)))))
+    b = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), _interleave([*axes], level).alias("cell"))
     return a.join(b, "cell").withColumn("km", distance_km("lat_a", "lon_a", "lat_b", "lon_b")).where(F.col("km") <= km).select("id_a", "id_b", "km")
 
 
@@ -184,14 +171,15 @@ def within_regions(points: DataFrame, regions: DataFrame) -> DataFrame:
     """
     spark = regions.sparkSession
     own = regions.select("id", "boundary").dropDuplicates(["id"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    cells = own.mapInPandas(_covers, "id_b long, level int, x long, y long, inside boolean").select("id_b", "level", "inside", _morton2(F.col("x"), F.col("y")).alias("cell"))
+    cells = own.mapInPandas(_covers, "id_b long, level int, x long, y long, inside boolean").select("id_b", "level", "inside", _interleave(["x", "y"], _FLAT).alias("cell"))
+    cells = cut_lineage(cells)  # covers are dear, and used for the levels and for the join
     levels = sorted(r.level for r in cells.select("level").distinct().collect())  # at most 27
     if not levels:
         return points.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")).limit(0)
     top = float((1 << _FLAT) - 1)
     x = F.least(F.lit(top), F.floor((F.col("lon") + 180) / 360 * (1 << _FLAT))).cast("long")
     y = F.least(F.lit(top), F.floor((F.col("lat") + 90) / 180 * (1 << _FLAT))).cast("long")
-    coded = points.withColumn("code", _morton2(x, y))
+    coded = points.select("id", "lat", "lon", x.alias("x"), y.alias("y")).select("id", "lat", "lon", _interleave(["x", "y"], _FLAT).alias("code"))
     at = coded.select(F.col("id").alias("id_a"), "lat", "lon", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright("code", 2 * (_FLAT - k)).alias("cell")) for k in levels))).alias("p")).select("id_a", "lat", "lon", "p.level", "p.cell")
     met = at.join(cells, ["level", "cell"])
     sides = own.mapInPandas(_sides, "id_b long, sides array<array<double>>")
