@@ -218,9 +218,17 @@ def train(labelled: Sequence[tuple[str, str]], seed: int = 7) -> Network:
 
 
 def fit(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS) -> Network:
-    """Trains on at most ``rows`` labelled rows, those with the smallest hash of their key, whatever their number."""
+    """Trains on at most ``rows`` labelled rows, those with the smallest hash of their key.
+
+    A count gives the bound of the hash below which some more than ``rows`` lie, so that no partition sends more than its
+    share of them, however many there are.
+    """
     code = F.lower(F.regexp_extract(F.col(label), _LABEL, 1))
-    some = df.where(F.col(label).rlike(_LABEL) & code.isin(*LANGUAGES) & F.col(text).rlike(r"(?U)\S")).select(F.col(text).alias("t"), code.alias("c"), F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.col(key).alias("k"))
+    known = df.where(F.col(label).rlike(_LABEL) & code.isin(*LANGUAGES) & F.col(text).rlike(r"(?U)\S"))
+    n = df.where(F.col(label).rlike(_LABEL)).count()
+    least = -(1 << 63)
+    bound = least + int((1 << 64) * min(1.0, 1.5 * rows / max(n, 1))) - 1
+    some = known.select(F.col(text).alias("t"), code.alias("c"), F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.col(key).alias("k")).where(F.col("h") <= bound)
     return train([(r.t, r.c) for r in some.orderBy("h", "k").limit(rows).select("t", "c").collect()])
 
 
