@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import geo, shred
+from . import knowledge, serving
 
 QUERIES: dict[str, Callable] = {
     "p2_found": shred.p2_found,
     "p2_faq": shred.p2_faq,
     "p2_comments": shred.p2_comments,
     "p3_found": geo.p3_found,
+    **serving.QUERIES,
+    **knowledge.QUERIES,
 }
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
@@ -40,4 +43,4 @@ WHERE n.distance_km IS NOT NULL AND abs(CAST(n.distance_km AS DOUBLE) - {km("h",
 """
 
 
-ORACLE: dict[str, str] = {"p3_found": _p3()}
+ORACLE: dict[str, str] = {"p3_found": _p3(), **serving.ORACLE, **knowledge.ORACLE}
