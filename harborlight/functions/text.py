@@ -95,8 +95,11 @@ def word_count(text: Column) -> Column:
 
 def ngrams(words: Column, longest: int) -> Column:
     """All n-grams of 1 to ``longest`` words joined by spaces, longest first; without repetitions."""
-    out = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in range(longest, 0, -1)]
-    return F.array_distinct(F.concat(*out))
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, range(longest, 0, -1))))
 
 
 def negated(text: Column, needle: Column, cues: list[str], window: int = 3) -> Column:

@@ -66,10 +66,14 @@ def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*key).agg(best).select(*key, *(F.col("first")[c].alias(c) for c in rest))
 
 
+def _tag(dimension: str):
+    return lambda v: F.struct(F.lit(dimension).alias("dimension"), v.alias("value"))
+
+
 def frequencies(df: DataFrame, scalars: Sequence[str] = (), arrays: Sequence[str] = (), key: str | None = None) -> DataFrame:
     """(dimension, value, n) of all dimensions in one pass; an array's value counts once a row, or once a ``key``."""
     pairs = [F.array(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value"))) for c in scalars]
-    pairs += [F.transform(F.coalesce(F.array_distinct(F.col(c)), F.array().cast("array<string>")), lambda v, c=c: F.struct(F.lit(c).alias("dimension"), v.alias("value"))) for c in arrays]
+    pairs += [F.transform(F.coalesce(F.array_distinct(F.col(c)), F.array().cast("array<string>")), _tag(c)) for c in arrays]
     long = df.select(*([key] if key else []), F.explode(F.concat(*pairs)).alias("p")).where("p.value is not null").select(*([key] if key else []), "p.*")
     n = F.countDistinct(key) if key else F.count("*")
     return long.groupBy("dimension", "value").agg(n.alias("n"))

@@ -278,8 +278,8 @@ def context_package(spark, d):
     return search.context(docs, "hotel_id", "doc_id", "text", "score", 600)
 
 
-@query("""WITH e AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value NULLS LAST, event_id) - 1 AS at, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_id, event_type, value FROM e WHERE n <= 40 OR at IN (SELECT (i * e.n) // 40 FROM range(40) t(i))""")
+@query("""WITH e AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value NULLS LAST, event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_id, event_type, value FROM e WHERE n <= 40 OR pos IN (SELECT (i * e.n) // 40 FROM range(40) t(i))""")
 def balanced_sample(spark, d):
     """40 events of each type at even steps of their value."""
     e = table(spark, d, "events").select("event_id", "event_type", "value")
@@ -397,7 +397,7 @@ def atomic_chunks(spark, d):
     return chunking.atomic_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS approximate, CAST(len(list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\r\\f\\x{0b}]+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS approximate, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x{0b}]+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents WHERE text IS NOT NULL")
 def token_estimates(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", X.approximate_tokens(F.col("text")).alias("approximate"), X.word_count(F.col("text")).alias("words"))
