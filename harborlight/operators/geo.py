@@ -92,52 +92,52 @@ def _edges(ring: np.ndarray) -> np.ndarray:
 def _cover(ring: np.ndarray, cells: int) -> list[tuple[int, int, int, bool]]:
     """(level, x, y, inside) of plane cells that cover a region; those inside need no refinement.
 
-    Descends from the cells around the region's box, always through the coarsest, while there are at most ``cells``.
+    Descends level by level from the cells around the region's box while there are about ``cells`` at most.
     """
     lon = ring[0, 1] + np.concatenate([[0], np.cumsum((np.diff(ring[:, 1]) + 180) % 360 - 180)])
     lat = ring[:, 0]
     x1, y1, x2, y2 = lon, lat, np.roll(lon, -1), np.roll(lat, -1)
     x2 = x1 + (x2 - x1 + 180) % 360 - 180
 
-    def touches(w, s, e, n) -> bool:
-        """Whether a side meets the rectangle: clip every side to it."""
-        t0, t1 = np.zeros(len(x1)), np.ones(len(x1))
-        ok = np.ones(len(x1), bool)
-        for p, d, lo, hi in ((x1, x2 - x1, w, e), (y1, y2 - y1, s, n)):
+    def touches(w, s, e, n) -> np.ndarray:
+        """For each rectangle, whether a side meets it: every side is clipped to every rectangle."""
+        t0, t1 = np.zeros((len(w), len(x1))), np.ones((len(w), len(x1)))
+        ok = np.ones((len(w), len(x1)), bool)
+        for p, d, lo, hi in ((x1, x2 - x1, w[:, None], e[:, None]), (y1, y2 - y1, s[:, None], n[:, None])):
             flat = d == 0
             ok &= ~flat | ((p >= lo) & (p <= hi))
             with np.errstate(divide="ignore", invalid="ignore"):
                 a, b = (lo - p) / d, (hi - p) / d
             t0 = np.where(flat, t0, np.maximum(t0, np.minimum(a, b)))
             t1 = np.where(flat, t1, np.minimum(t1, np.maximum(a, b)))
-        return bool((ok & (t0 <= t1)).any())
+        return (ok & (t0 <= t1)).any(1)
 
-    def inside(px, py) -> bool:
+    def inside(px, py) -> np.ndarray:
         lo, hi = np.minimum(x1, x2), np.maximum(x1, x2)
         with np.errstate(divide="ignore", invalid="ignore"):
-            at = y1 + (y2 - y1) * (px - x1) / (x2 - x1)
-        return bool(((px >= lo) & (px < hi) & (at > py)).sum() % 2)
+            at = y1 + (y2 - y1) * (px[:, None] - x1) / (x2 - x1)
+        return ((px[:, None] >= lo) & (px[:, None] < hi) & (at > py[:, None])).sum(1) % 2 == 1
 
-    w, e, s, n = x1.min(), max(x1.max(), x2.max()), y1.min(), y1.max()
-    w = min(w, x2.min())
+    w, e, s, n = min(x1.min(), x2.min()), max(x1.max(), x2.max()), y1.min(), y1.max()
     level = int(np.clip(math.floor(math.log2(360 / max(e - w, 2 * (n - s), 1e-6))), 0, _FLAT))
     side = 1 << level
-    dx, dy = 360 / side, 180 / side
-    top = side - 1
-    todo = [(level, x, y) for x in range(math.floor((w + 180) / dx), math.floor((e + 180) / dx) + 1) for y in range(max(0, math.floor((s + 90) / dy)), min(top, math.floor((n + 90) / dy)) + 1)]
+    xs = np.arange(math.floor((w + 180) / (360 / side)), math.floor((e + 180) / (360 / side)) + 1)
+    ys = np.arange(max(0, math.floor((s + 90) / (180 / side))), min(side - 1, math.floor((n + 90) / (180 / side))) + 1)
+    x, y = (a.ravel() for a in np.meshgrid(xs, ys))
     done: list[tuple[int, int, int, bool]] = []
-    while todo:
-        level, x, y = todo.pop(0)
+    while len(x):
         dx, dy = 360 / (1 << level), 180 / (1 << level)
-        rect = (x * dx - 180, y * dy - 90, (x + 1) * dx - 180, (y + 1) * dy - 90)
-        grown = (rect[0] - 1e-9, rect[1] - 1e-9, rect[2] + 1e-9, rect[3] + 1e-9)
-        if touches(*grown):
-            if len(done) + len(todo) < cells and level < _FLAT:
-                todo += [(level + 1, 2 * x + i, 2 * y + j) for i in (0, 1) for j in (0, 1)]
-            else:
-                done.append((level, x % (1 << level), y, False))
-        elif inside((rect[0] + rect[2]) / 2, (rect[1] + rect[3]) / 2):
-            done.append((level, x % (1 << level), y, True))
+        west, south = x * dx - 180, y * dy - 90
+        border = touches(west - 1e-9, south - 1e-9, west + dx + 1e-9, south + dy + 1e-9)
+        full = ~border & inside(west + dx / 2, south + dy / 2)
+        wrap = 1 << level
+        done += [(level, int(a) % wrap, int(b), True) for a, b in zip(x[full], y[full])]
+        x, y = x[border], y[border]
+        if len(done) + 4 * len(x) > cells or level == _FLAT:
+            done += [(level, int(a) % wrap, int(b), False) for a, b in zip(x, y)]
+            break
+        x, y = np.concatenate([2 * x, 2 * x + 1, 2 * x, 2 * x + 1]), np.concatenate([2 * y, 2 * y, 2 * y + 1, 2 * y + 1])
+        level += 1
     return done
 
 
