@@ -32,7 +32,7 @@ def tokens(text: Column, folded: bool = False) -> Column:
 def sentences(text: Column, newlines: bool = False) -> Column:
     """Sentences with their end marks, trimmed, without empty ones; also cut at line ends where ``newlines`` is on."""
     pattern = r"(?<=[.!?])\s+|\n+" if newlines else r"(?<=[.!?…])\s+"
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clean_space(text: Column) -> Column:
@@ -43,7 +43,7 @@ def clean_space(text: Column) -> Column:
 
 def join_non_empty(sep: str, *parts: Column) -> Column:
     """The parts that aren't null or blank, trimmed and joined."""
-    return F.array_join(F.filter(F.transform(F.array(*parts), F.trim), lambda s: s.isNotNull() & (s != "")), sep)
+    return F.array_join(F.filter(F.transform(F.array(*parts), lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != "")), sep)
 
 
 def context_prefix(text: Column, *parts: Column) -> Column:
@@ -126,8 +126,8 @@ def strip_comments(text: Column) -> Column:
 
 def fenced(text: Column, language: str = "json") -> Column:
     """The content of the first fenced block of a language, else the text."""
-    inner = F.regexp_extract(text, rf"(?s)```(?:{language})?\s*(.*?)```", 1)
-    return F.when(inner != "", F.trim(inner)).otherwise(text)
+    inner = F.regexp_extract(text, rf"(?s)```(?:{language})?\s*(.*?)\s*```", 1)
+    return F.when(inner != "", inner).otherwise(text)
 
 
 def short_hash(text: Column, length: int = 16) -> Column:

@@ -56,7 +56,7 @@ def has_any(values: Column, wanted: list) -> Column:
 
 def text_list(values: Column) -> Column:
     """Trimmed texts without empty ones and nulls; an empty array for no array."""
-    return F.coalesce(F.filter(F.transform(values, F.trim), lambda s: s.isNotNull() & (s != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(values, lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != "")), F.array().cast("array<string>"))
 
 
 def union_all(*arrays: Column) -> Column:
