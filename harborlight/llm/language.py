@@ -23,6 +23,7 @@ UNKNOWN = "und"
 #: Bounds of the labelled sample that the classifier is fitted on; everything else covers all rows.
 TRAIN_ROWS, TRAIN_SENTENCES = 8_000, 900
 WINDOW, EMBEDDING, FILTERS, WIDTHS, EPOCHS = 96, 20, 32, (2, 3, 4), 6
+LEAST_STEPS = 240
 _LABEL = r"^(?i)([a-z]{2})([-_][a-z]{2})?$"
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}&&[^\s]]+", regex.V1)
@@ -109,7 +110,8 @@ class Network:
         return np.concatenate([self._softmax(self._pooled(x[k : k + batch])[0] @ self.out + self.out_bias) for k in range(0, len(x), batch)]) if len(x) else np.zeros((0, len(LANGUAGES)), np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator, batch: int = 128, rate: float = 3e-3) -> None:
-        """Adam on the cross entropy. The gradient of a maximum reaches one patch a filter only."""
+        """Adam on the cross entropy, LEAST_STEPS or more. The gradient of a maximum reaches one patch a filter only."""
+        epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(x), batch)))
         weights = [self.embedding, *self.filters, *self.bias, self.out, self.out_bias]
         m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         for _ in range(epochs):
