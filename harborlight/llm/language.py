@@ -32,6 +32,7 @@ _END = regex.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|[\n\r\v\f\x1c-\x1e\x85\
 _THAI_TAIL = regex.compile(r"^(.*[\p{Thai}])(\W*[^\p{Thai}]*)$", regex.S)
 _OTHER_SCRIPT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]|\p{Cyrillic}{3}")
 _LATIN_WORD = regex.compile(r"(?<![\p{L}\d])\p{Latin}[\p{Latin}\p{M}'’-]*")
+_LATIN, _LETTER, _NO_LETTER = regex.compile(r"\p{Latin}"), regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 _FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
 _TWINS = str.maketrans(LOOK_ALIKE, LATIN_TWIN)
 
@@ -54,11 +55,11 @@ def sentences(text: str) -> list[str]:
 
 def clean(sentence: str) -> str:
     """What the network sees of a sentence: lower case, look-alike letters of other scripts in Latin text mapped back."""
-    if _FOREIGN.search(sentence) and regex.search(r"\p{Latin}", sentence):
+    if _FOREIGN.search(sentence) and _LATIN.search(sentence):
         plain = unicodedata.normalize("NFC", unicodedata.normalize("NFD", sentence).translate(_TWINS))
-        if len(_FOREIGN.findall(plain)) < 0.1 * len(regex.findall(r"\p{L}", plain)):
+        if len(_FOREIGN.findall(plain)) < 0.1 * len(_LETTER.findall(plain)):
             sentence = plain
-    return re.sub(r"[\W\d_]+", " ", sentence.lower()) if not regex.search(r"\p{M}", sentence) else regex.sub(r"[^\p{L}\p{M}]+", " ", sentence.lower())
+    return _NO_LETTER.sub(" ", sentence.lower())
 
 
 def windows(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +90,15 @@ class Network:
         f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         return cls(f32(256, EMBEDDING, scale=0.6), [f32(w * EMBEDDING, FILTERS, scale=(w * EMBEDDING) ** -0.5) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], f32(FILTERS * len(WIDTHS), len(LANGUAGES), scale=0.1), np.zeros(len(LANGUAGES), np.float32))
 
+    def _hidden(self, x: np.ndarray) -> np.ndarray:
+        """What the softmax sees: the maximum of every filter over the positions."""
+        e = self.embedding[x]
+        out = []
+        for w, f, b in zip(WIDTHS, self.filters, self.bias):
+            p = sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(len(x) * (WINDOW - w + 1), w * EMBEDDING)
+            out.append(np.maximum((p @ f).reshape(len(x), WINDOW - w + 1, FILTERS).max(1) + b, 0))
+        return np.concatenate(out, 1)
+
     def _pooled(self, x: np.ndarray):
         e = self.embedding[x]
         pooled, where, patches = [], [], []
@@ -107,9 +117,9 @@ class Network:
         return z / z.sum(1, keepdims=True)
 
     def probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
-        return np.concatenate([self._softmax(self._pooled(x[k : k + batch])[0] @ self.out + self.out_bias) for k in range(0, len(x), batch)]) if len(x) else np.zeros((0, len(LANGUAGES)), np.float32)
+        return np.concatenate([self._softmax(self._hidden(x[k : k + batch]) @ self.out + self.out_bias) for k in range(0, len(x), batch)]) if len(x) else np.zeros((0, len(LANGUAGES)), np.float32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator, batch: int = 128, rate: float = 3e-3) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator, embed: bool = True, batch: int = 128, rate: float = 3e-3) -> None:
         """Adam on the cross entropy, LEAST_STEPS or more. The gradient of a maximum reaches one patch a filter only."""
         epochs = max(epochs, -(-LEAST_STEPS * batch // max(len(x), batch)))
         weights = [self.embedding, *self.filters, *self.bias, self.out, self.out_bias]
@@ -131,7 +141,7 @@ class Network:
                     best = patches[i][np.arange(n)[:, None], where[i]]  # (n, FILTERS, width * EMBEDDING)
                     df.append(np.einsum("nf,nfp->pf", g, best, optimize=True))
                     db.append(g.sum(0))
-                    for j in range(w):
+                    for j in range(w if embed else 0):
                         np.add.at(de, bytes_[np.arange(n)[:, None], where[i] + j].ravel(), (g[:, :, None] * self.filters[i][j * EMBEDDING : (j + 1) * EMBEDDING].T).reshape(-1, EMBEDDING))
                 grads = [de, *df, *db, h.T @ d, d.sum(0)]
                 step += 1
@@ -162,13 +172,13 @@ def plain_vietnamese(text: str) -> str:
     return t.replace("đ", "d")
 
 
-_SCRIPTS = {"ko": r"\p{Hangul}", "ja": r"[\p{Hiragana}\p{Katakana}]", "th": r"\p{Thai}", "ru": r"\p{Cyrillic}", "zh": r"\p{Han}"}
+_SCRIPTS = {k: regex.compile(p) for k, p in {"ko": r"\p{Hangul}", "ja": r"[\p{Hiragana}\p{Katakana}]", "th": r"\p{Thai}", "ru": r"\p{Cyrillic}", "zh": r"\p{Han}"}.items()}
 _VIETNAMESE = regex.compile(r"[ăơưđạ-ỹ]")
 
 
 def plausible(sentence: str, label: str) -> bool:
     """Whether a sentence's script, or for Latin the share of its words with Vietnamese marks, allows its label."""
-    script = next((k for k, p in _SCRIPTS.items() if len(regex.findall(p, sentence)) >= 3), None)
+    script = next((k for k, p in _SCRIPTS.items() if len(p.findall(sentence)) >= 3), None)
     if script or label in _SCRIPTS:
         return script == label
     words = sentence.split()
@@ -213,9 +223,10 @@ def train(labelled: Sequence[tuple[str, str]], seed: int = 7) -> Network:
     if len(kept):
         few = [np.resize(own, max(0, TRAIN_SENTENCES - len(own))) for k in range(len(LANGUAGES)) if len(own := kept[y[kept] == k])]
         kept = np.concatenate([kept, *few])
-        net = Network.start(rng)
+        first, net = net, Network.start(rng)
+        net.embedding = first.embedding  # bytes mean the same; only the filters and the softmax start anew
         x, owner = windows([texts[i] for i in kept])
-        net.fit(x, y[kept][owner], EPOCHS, rng)
+        net.fit(x, y[kept][owner], EPOCHS, rng, embed=False)
     return net
 
 
