@@ -264,8 +264,8 @@ _SPARK = "id long, label string, seg int, n_segs int, lang string, confidence do
 def _run(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 2_500):
+                part = batch.slice(start, 2_500)
                 ids, texts, labels = (part.column(i).to_pylist() for i in range(3))
                 cut = [[clean(s) for s in sentences(t)] for t in texts]
                 distinct = list(dict.fromkeys(s for ss in cut for s in ss))
