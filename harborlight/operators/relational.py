@@ -118,10 +118,17 @@ def balanced_sample(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return ranked.where(hit).drop("_at", "_size")
 
 
-def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column], cost: str, budget: int) -> DataFrame:
-    """The first rows of each group whose costs add up to the budget at most; always the very first one."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    run = df.withColumn("_rank", F.row_number().over(w)).withColumn("total", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column], cost: str, budget: int, least_cost: int = 0) -> DataFrame:
+    """The first rows of each group whose costs add up to the budget at most; always the very first one.
+
+    Where no row costs less than ``least_cost``, no more than budget / least_cost rows of a group can be kept; a rank limit
+    below the shuffle then leaves out the rest of a group of any size.
+    """
+    if least_cost > 0:
+        df = first_rows(df, group, order, budget // least_cost + 1, "_rank")
+    else:
+        df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    run = df.withColumn("total", F.sum(cost).over(Window.partitionBy(*group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)))
     return run.where((F.col("_rank") == 1) | (F.col("total") <= budget)).withColumnRenamed("_rank", "rank")
 
 

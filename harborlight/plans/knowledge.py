@@ -350,7 +350,7 @@ def section_split(spark, d):
     return sections(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("""SELECT hotel_id, to_json({'n': count(*), 'best': CAST(max(review_score) AS DOUBLE)}) AS doc FROM (SELECT DISTINCT id, hotel_id, review_score FROM activities WHERE hotel_id IS NOT NULL) GROUP BY 1 HAVING max(review_score) IS NOT NULL""")
+@query("""SELECT hotel_id, CAST(to_json({'n': count(*), 'best': CAST(max(review_score) AS DOUBLE)}) AS VARCHAR) AS doc FROM (SELECT DISTINCT id, hotel_id, review_score FROM activities WHERE hotel_id IS NOT NULL) GROUP BY 1 HAVING max(review_score) IS NOT NULL""")
 def json_documents(spark, d):
     """Small JSON documents per key."""
     a = table(spark, d, "activities").where("hotel_id is not null").select("id", "hotel_id", "review_score").distinct()

@@ -142,7 +142,7 @@ def roll_up(chunks: DataFrame, query: str, owner: str, chunk: str, size: int) ->
 def context(chunks: DataFrame, group: str, key: str, text: str, score: str, budget: int, separator: str = "\n---\n") -> DataFrame:
     """(group, context_text, citations, n_chunks, used_tokens): the best chunks that fit the budget, the first in any case."""
     sized = chunks.withColumn("_tokens", approximate_tokens(F.col(text)))
-    kept = within_budget(sized, [group], [F.col(score).desc(), F.col(key)], "_tokens", budget)
+    kept = within_budget(sized, [group], [F.col(score).desc(), F.col(key)], "_tokens", budget, least_cost=1)
     packed = kept.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "_tokens"))).alias("c"))
     cite = F.transform("c", lambda c: F.concat(F.format_string("cit-%03d", c["rank"]), F.lit(":"), c["key"]))
     return packed.select(group, F.array_join(F.transform("c", lambda c: c["text"]), separator).alias("context_text"), F.array_join(cite, ",").alias("citations"), F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0), lambda s, c: s + c["_tokens"]).alias("used_tokens"))

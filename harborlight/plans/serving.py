@@ -268,13 +268,13 @@ def p95_nearest_rank(spark, d):
     return R.nearest_rank(table(spark, d, "events").where("event_type is not null"), ["event_type"], "value", 0.95, "p95")
 
 
-@query("""WITH d AS (SELECT hotel_id, doc_id, text, greatest(1, length(text) // 4) AS tok FROM documents WHERE hotel_id IS NOT NULL AND text IS NOT NULL AND n_chars < 2000),
+@query("""WITH d AS (SELECT hotel_id, doc_id, text, greatest(1, length(text) // 4) AS tok FROM documents WHERE hotel_id IS NOT NULL AND text IS NOT NULL),
 r AS (SELECT *, row_number() OVER w AS rk, sum(tok) OVER (PARTITION BY hotel_id ORDER BY n DESC, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM (SELECT *, length(text) AS n FROM d) WINDOW w AS (PARTITION BY hotel_id ORDER BY n DESC, doc_id))
 SELECT hotel_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY rk) AS context_text, string_agg('cit-' || lpad(CAST(rk AS VARCHAR), 3, '0') || ':' || doc_id, ',' ORDER BY rk) AS citations,
 CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(tok) AS INTEGER) AS used_tokens FROM r WHERE rk = 1 OR total <= 600 GROUP BY 1""")
 def context_package(spark, d):
-    """Each hotel's longest documents under 2,000 characters that fit 600 tokens, with citations."""
-    docs = table(spark, d, "documents").where("hotel_id is not null and text is not null and n_chars < 2000").withColumn("score", F.char_length("text"))
+    """Each hotel's longest documents that fit 600 tokens, with citations."""
+    docs = table(spark, d, "documents").where("hotel_id is not null and text is not null").withColumn("score", F.char_length("text"))
     return search.context(docs, "hotel_id", "doc_id", "text", "score", 600)
 
 
@@ -357,19 +357,21 @@ def hotel_cards(spark, d):
     return out.select(F.col("id").alias("hotel_id"), text("name").alias("name"), F.coalesce(F.col("star_rating").cast("double"), F.lit(0.0)).alias("star"), F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price_from"), F.substring(text("description"), 1, 200).alias("teaser"), F.size(F.slice(amenities, 1, 8)).alias("n_amenities"), F.coalesce(F.try_element_at("images", F.lit(1)), F.lit("")).alias("image"), text("near").alias("nearby"))
 
 
-@query(f"""WITH h AS {H}, r AS {RM}, x AS (SELECT hotel_id, count(*) AS n_rooms, string_agg(coalesce(name, '') , '|' ORDER BY price NULLS LAST, id) AS rooms FROM r WHERE hotel_id IS NOT NULL GROUP BY 1),
+@query(f"""WITH h AS {H}, r AS {RM}, n AS (SELECT hotel_id, count(*) AS n_rooms, CAST(min(price) AS DOUBLE) AS least, CAST(max(price) AS DOUBLE) AS most FROM r WHERE hotel_id IS NOT NULL GROUP BY 1),
+t AS (SELECT hotel_id, name, row_number() OVER (PARTITION BY hotel_id ORDER BY price NULLS LAST, id) AS k FROM r WHERE hotel_id IS NOT NULL QUALIFY k <= 20),
+x AS (SELECT hotel_id, string_agg(coalesce(name, ''), '|' ORDER BY k) AS rooms FROM t GROUP BY 1),
 a AS (SELECT hotel_id, count(*) AS n_activities, CAST(sum(coalesce(price_amount, 0)) AS DOUBLE) AS activity_sum FROM (SELECT DISTINCT id, hotel_id, price_amount FROM activities WHERE hotel_id IS NOT NULL) GROUP BY 1)
-SELECT h.id AS hotel_id, h.city, coalesce(n_rooms, 0) AS n_rooms, rooms, coalesce(n_activities, 0) AS n_activities, activity_sum FROM h LEFT JOIN x ON x.hotel_id = h.id LEFT JOIN a ON a.hotel_id = h.id WHERE coalesce(n_rooms, 0) < 500""")
+SELECT h.id AS hotel_id, h.city, coalesce(n_rooms, 0) AS n_rooms, least, most, rooms, coalesce(n_activities, 0) AS n_activities, activity_sum FROM h LEFT JOIN n ON n.hotel_id = h.id LEFT JOIN x ON x.hotel_id = h.id LEFT JOIN a ON a.hotel_id = h.id""")
 def hotel_documents(spark, d):
-    """Hotels with their rooms in order of price and their activities; hotels of 500 rooms or more are kept in a table of
-    their own by their rooms, not as one list."""
+    """Hotels with the number and price range of their rooms, the 20 cheapest in order, and their activities."""
     r = rooms_once(spark, d, "hotel_id", "name", "price").where("hotel_id is not null")
-    few = r.groupBy("hotel_id").agg(F.count("*").alias("n_rooms"))
-    names = r.join(few.where("n_rooms < 500").select("hotel_id"), "hotel_id", "left_semi").groupBy("hotel_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("price").isNull().alias("no_price"), "price", "id", F.coalesce("name", F.lit("")).alias("name")))), lambda s: s["name"]), "|").alias("rooms"))
+    all_rooms = r.groupBy("hotel_id").agg(F.count("*").alias("n_rooms"), F.min("price").cast("double").alias("least"), F.max("price").cast("double").alias("most"))
+    cheap = R.first_rows(r, ["hotel_id"], [F.col("price").asc_nulls_last(), F.col("id")], 20)
+    names = cheap.groupBy("hotel_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("name", F.lit("")).alias("name")))), lambda s: s["name"]), "|").alias("rooms"))
     a = table(spark, d, "activities").where("hotel_id is not null").select("id", "hotel_id", "price_amount").dropDuplicates(["id"]).groupBy("hotel_id").agg(F.count("*").alias("n_activities"), F.sum(F.coalesce("price_amount", F.lit(0))).cast("double").alias("activity_sum"))
     h = hotels_once(spark, d, "city").withColumnRenamed("id", "hotel_id")
-    out = h.join(few, "hotel_id", "left").join(names, "hotel_id", "left").join(a, "hotel_id", "left")
-    return out.select("hotel_id", "city", F.coalesce("n_rooms", F.lit(0)).alias("n_rooms"), "rooms", F.coalesce("n_activities", F.lit(0)).alias("n_activities"), "activity_sum").where("n_rooms < 500")
+    out = h.join(all_rooms, "hotel_id", "left").join(names, "hotel_id", "left").join(a, "hotel_id", "left")
+    return out.select("hotel_id", "city", F.coalesce("n_rooms", F.lit(0)).alias("n_rooms"), "least", "most", "rooms", F.coalesce("n_activities", F.lit(0)).alias("n_activities"), "activity_sum")
 
 
 @query()
