@@ -12,6 +12,7 @@ from ..functions import values as V
 from ..operators import mining as K
 from ..operators import relational as R
 from ..tables import table
+from . import intent
 from .chunking import sections
 from .serving import H, hotels_once, rooms_once
 
@@ -355,3 +356,18 @@ def json_documents(spark, d):
     """Small JSON documents per key."""
     a = table(spark, d, "activities").where("hotel_id is not null").select("id", "hotel_id", "review_score").distinct()
     return a.groupBy("hotel_id").agg(F.count("*").alias("n"), F.max("review_score").cast("double").alias("best")).where("best is not null").select("hotel_id", F.to_json(F.struct("n", "best")).alias("doc"))
+
+
+@query()
+def intent_parse(spark, d):
+    """Activities' titles and descriptions taken for requests."""
+    a = table(spark, d, "activities").dropDuplicates(["id"]).select("id", F.concat_ws(". ", "title", "description").alias("request"))
+    labels = table(spark, d, "concepts").select("concept_id", "facet", F.col("label_vi").alias("label"))
+    return intent.parse(a, "id", "request", synonym_index(spark, d), labels, _RULES)
+
+
+@query("""SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(?i)([0-9]+(?:[.,][0-9]+)?)\\s*km(?:[^\\p{L}]|$)', 1), ',', '.') AS DOUBLE) AS km, TRY_CAST(regexp_extract(text, '([0-9]+) giờ', 1) AS DOUBLE) AS hour FROM documents WHERE text IS NOT NULL""")
+def intent_numbers(spark, d):
+    """Distances and hours that documents name first."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", *intent.numbers(F.col("text"), {"km": intent.NUMBERS["km_max"], "hour": "([0-9]+) giờ"}))

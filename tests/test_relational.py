@@ -8,7 +8,7 @@ from harborlight.functions import text as X
 from harborlight.functions import values as V
 from harborlight.operators import mining as K
 from harborlight.operators import relational as R
-from harborlight.plans import chunking, search
+from harborlight.plans import chunking, intent, search
 
 
 def one(spark, column, **values):
@@ -167,3 +167,17 @@ def test_vector_search_is_exact_in_blocks(spark, monkeypatch):
     full = {i: [float(x) for x in v] for i, v in vs if v and len(v) == 8}
     want = {(a, b) for a in range(7) for b in sorted(full, key=lambda k: (-cos(full[a], full[k]), k))[:5]}
     assert got == want
+
+
+def test_requests_become_filters(spark):
+    d = spark.createDataFrame([("ho boi", ["P"]), ("tra duong", ["C"])], "form string, concept_ids array<string>")
+    labels = spark.createDataFrame([("P", "amenity", "Hồ bơi"), ("C", "city", "Trà Dương")], "concept_id string, facet string, label string")
+    rows = [(1, "Khách sạn 4 sao ở Trà Dương có hồ bơi, từ 8,5 điểm"), (2, None), (3, "bất kỳ")]
+    got = {r.id: r for r in intent.parse(spark.createDataFrame(rows, "id long, t string"), "id", "t", d, labels, {"any": "bất kỳ"}).collect()}
+    assert (got[1].star_min, got[1].review_min, got[1].place, got[1].amenities, got[1].confidence) == (4.0, 8.5, "C", ["P"], 1.0)
+    assert got[1].expanded.endswith("Hồ bơi Trà Dương") and (got[2].confidence, got[3].confidence, got[3].rules) == (0.0, 0.0, ["any"])
+    assert intent.merge_filters({"city": "a", "star": 3}, {"city": "b", "star": None}) == {"city": "b", "star": 3}
+    import pytest
+
+    with pytest.raises(ValueError):
+        intent.check_request(top_k=51)
