@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,10 @@ _TO = LATIN_TWIN + PLAIN + "".join(chr(ord(c) - 0xFEE0) for c in _FULL) + " " *
 #: What doesn't show: format and control characters but white space and joined emoji, fillers and variation selectors.
 _HIDDEN = r"(?:(?!\x{200D})[\p{Cf}\p{Cc}&&[^\s\x{85}]]|(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])\x{200D}|[\x{34F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}])+"
 
+#: Texts that go through Python: with combining marks, Greek or Cyrillic letters, Hangul parts, or any other character that
+#: canonical composition replaces (signs such as the Kelvin's, compatibility ideographs).
+_APART = r"[\p{M}\x{370}-\x{52F}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}\x{A36}\x{A59}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+
 
 @F.pandas_udf(T.StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
@@ -39,10 +44,10 @@ def look_alike(text: Column) -> Column:
     """The text with hidden characters taken out, every character replaced by the plainest one that looks like it, runs of
     white space as one space, none at the ends. Null gives null. Case, accents and punctuation stay.
 
-    Only texts with combining marks, or with Cyrillic or Greek letters, go through Python: their letters are mapped apart
-    from their marks and composed again, as the collation doesn't reorder a mark behind a composed letter.
+    Only texts that match ``_APART`` go through Python: their letters are mapped apart from their marks and composed again,
+    as the collation doesn't reorder a mark behind a composed letter. So all texts come out in canonical composition.
     """
-    marked = text.rlike(r"[\p{M}\x{370}-\x{52F}\x{1100}-\x{11FF}]")
+    marked = text.rlike(_APART)
     apart = F.coalesce(_decomposed(F.when(marked, text)), text)
     mapped = F.trim(F.regexp_replace(F.translate(F.regexp_replace(apart, _HIDDEN, ""), _FROM, _TO), r"\s+", " "))
     return F.coalesce(_composed(F.when(marked, mapped)), mapped)
@@ -53,14 +58,28 @@ def _values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return long.withColumn("mapped", look_alike(F.col("stored"))).where("mapped != ''")
 
 
+def _collation_key(text: Column) -> Column:
+    """The sort key under the collation UNICODE. Functions of SQL hash a collated string by its plain bytes; the key is the
+    expression by which Spark itself joins collated strings."""
+    jvm = SparkContext._active_spark_context._jvm
+    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(bridge.column(jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(bridge.expression(F.collate(text, "UNICODE")._jc))))
+
+
+def _class() -> list[Column]:
+    """The class of a mapped text: hashes of its collation key and of itself."""
+    return [F.xxhash64(_collation_key(F.col("mapped"))).alias("look"), F.xxhash64("mapped").alias("exact")]
+
+
 def _keys(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id, field, collation, exact, stored): hashes under the Unicode collation, of the mapped and of the stored text.
+    """(id, field, look, exact, stored): hashes of the key under the Unicode collation, of the mapped and of the stored text.
 
     UNICODE compares case, accents and punctuation and ignores what doesn't show. It also takes some sequences of other
-    scripts for equal that differ (a Thai vowel before or after its letter); the hash of the mapped text tells them apart.
+    scripts for equal that differ (a Thai vowel before or after its letter); the hash of the mapped text, which is in
+    canonical composition, tells them apart and keeps canonically equal texts together.
     """
     v = _values(df, key, fields)
-    return v.select("id", "field", F.expr("xxhash64(mapped collate UNICODE)").alias("look"), F.expr("xxhash64(mapped)").alias("exact"), F.expr("xxhash64(stored)").alias("stored"))
+    return v.select("id", "field", *_class(), F.expr("xxhash64(stored)").alias("stored"))
 
 
 def look_alike_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -84,11 +103,11 @@ def look_alike_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def canonical(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, canonical_id, canonical): each value in the form of its class.
 
-    Values are grouped under the accent-sensitive Unicode collation; the class's member is the one with the smallest id,
+    Values are grouped by their key under the accent-sensitive Unicode collation and an exact check; the class's member is the one with the smallest id,
     whose mapped text stands for all. Null and blank values give no rows; rows that repeat a key count once.
     """
     v = _values(df, key, fields)
-    rows = v.select("id", "field", F.expr("xxhash64(mapped collate UNICODE)").alias("look"), F.expr("xxhash64(mapped)").alias("exact"), F.col("mapped").alias("canonical"))
+    rows = v.select("id", "field", *_class(), F.col("mapped").alias("canonical"))
     keys = _keys(df, key, fields).groupBy("field", "look", "exact").agg(F.min("id").alias("canonical_id"))
     return rows.join(keys, ["field", "look", "exact"]).select("id", "field", "canonical_id", "canonical").dropDuplicates(["id", "field"])
 

@@ -93,6 +93,23 @@ def test_look_alikes_pair_and_others_do_not(spark):
     assert canonical.look_alike_pairs(docs(spark, []), "id", ["t"]).count() == 0
 
 
+def test_canonically_equal_texts_pair_under_the_collation(spark):
+    pairs = [("5 K", "5 \u212a"), ("\u00c5", "\u212b"), ("caf\u00e9", "cafe\u0301"), ("\u6a02", "\uf914"), ("\u0928\u093c", "\u0929"), ("\u05e9\u05c1", "\ufb2a")]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {(r.id_a, r.id_b) for r in canonical.look_alike_pairs(docs(spark, rows), "id", ["t"]).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+    forms = {r.id: (r.canonical_id, r.canonical) for r in canonical.canonical(docs(spark, rows), "id", ["t"]).collect()}
+    assert all(forms[a] == forms[b] for a, b in got)
+    hashes = docs(spark, rows).select("id", F.col("t").alias("mapped")).select("id", *canonical._class()).collect()
+    look = {r.id: r.look for r in hashes}
+    assert all(look[a] == look[b] for a, b in got) and len(set(look.values())) == len(pairs)
+
+
+def test_every_character_that_composition_replaces_goes_through_it(spark):
+    changed = [c for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.normalize("NFC", c) != c and c not in canonical.SPACES]
+    assert docs(spark, [(ord(c), c) for c in changed]).where(~F.col("t").rlike(canonical._APART)).count() == 0
+
+
 # --- 7: mapping
 
 ENTRIES = [("C1", ["Trà Dương", "Tra Duong", "TP. Trà Dương"]), ("C2", ["Vân Rồng Dương", "Van Rong Duong"]), ("C3", ["Thanh Khê"])]
