@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import has_all, has_any
+from ..tables import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,21 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def positions(df: DataFrame, group: str, order: Sequence[Column], position: str = "position") -> DataFrame:
+    """All rows of every group of any size with their ``position`` from 1; ``order`` has to tell all rows of a group apart.
+
+    Rows are range-partitioned by group and order; places within a partition are shifted by the group's counts in the
+    partitions before, of which there is one row a group and partition. Rows with a null group take no part.
+    """
+    parts, by = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), [F.col(group), *order]
+    # the bounds come from a sample, so both uses below have to read the same partitions
+    cut = cut_lineage(df.where(F.col(group).isNotNull()).repartitionByRange(parts, *by).withColumn("_pid", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    shift = cut.groupBy(group, "_pid").agg(F.count("*").alias("_n")).select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_pid").orderBy(*order)))
+    return local.join(shift, [group, "_pid"]).select(*df.columns, (F.col("_local") + F.col("_shift")).alias(position))
+
+
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the first in ``order``; partial aggregation keeps one candidate a task, however often a key comes."""
     rest = [c for c in df.columns if c not in key]

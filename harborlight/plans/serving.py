@@ -363,7 +363,8 @@ x AS (SELECT hotel_id, string_agg(coalesce(name, ''), '|' ORDER BY k) AS rooms F
 a AS (SELECT hotel_id, count(*) AS n_activities, CAST(sum(coalesce(price_amount, 0)) AS DOUBLE) AS activity_sum FROM (SELECT DISTINCT id, hotel_id, price_amount FROM activities WHERE hotel_id IS NOT NULL) GROUP BY 1)
 SELECT h.id AS hotel_id, h.city, coalesce(n_rooms, 0) AS n_rooms, least, most, rooms, coalesce(n_activities, 0) AS n_activities, activity_sum FROM h LEFT JOIN n ON n.hotel_id = h.id LEFT JOIN x ON x.hotel_id = h.id LEFT JOIN a ON a.hotel_id = h.id""")
 def hotel_documents(spark, d):
-    """Hotels with the number and price range of their rooms, the 20 cheapest in order, and their activities."""
+    """Summaries of hotels: number and price range of their rooms, names of the 20 cheapest in order, number and sum of their
+    activities. ``hotel_document_parts`` has the whole documents."""
     r = rooms_once(spark, d, "hotel_id", "name", "price").where("hotel_id is not null")
     all_rooms = r.groupBy("hotel_id").agg(F.count("*").alias("n_rooms"), F.min("price").cast("double").alias("least"), F.max("price").cast("double").alias("most"))
     cheap = R.first_rows(r, ["hotel_id"], [F.col("price").asc_nulls_last(), F.col("id")], 20)
@@ -374,6 +375,39 @@ def hotel_documents(spark, d):
     return out.select("hotel_id", "city", F.coalesce("n_rooms", F.lit(0)).alias("n_rooms"), "least", "most", "rooms", F.coalesce("n_activities", F.lit(0)).alias("n_activities"), "activity_sum")
 
 
+#: Rooms, places and activities, each, that one part of a hotel's document holds at most.
+PART_ROWS = 200
+
+
+@query()
+def hotel_document_parts(spark, d):
+    """Whole documents of hotels in parts: the hotel's own fields (part 0 only), all its rooms by price, all nearby places by
+    distance and all activities by id, PART_ROWS of each a part. What belongs to no delivered hotel is left out."""
+    word, number = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c), lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    whole, texts = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c), lambda c: F.coalesce(F.col(c), F.array().cast("array<string>")).alias(c)
+    h = hotels_once(spark, d, "name", "accommodation_type", "star_rating", "is_luxury", "address", "city", "latitude", "longitude", "review_score", "review_count", "reviews_detail", "description", "amenities", "suitable_for", "policy_notes", "useful_info", "images", "source_url").withColumnRenamed("id", "hotel_id")
+    once = lambda t, order, *c: R.first_wins(table(spark, d, t).where("id is not null").select("id", *c), ["id"], order)
+    low = once("rooms", ["crawled_at", "hotel_id", "price"], "crawled_at", "hotel_id", "price").where("hotel_id is not null").groupBy("hotel_id").agg(F.min("price").cast("double").alias("price_from"))
+    own = F.struct(word("name"), word("accommodation_type"), number("star_rating"), F.coalesce("is_luxury", F.lit(False)).alias("is_luxury"), word("address"), word("city"), number("latitude"), number("longitude"), number("review_score"), whole("review_count"), "reviews_detail", word("description"), texts("amenities"), texts("suitable_for"), texts("policy_notes"), "useful_info", number("price_from"), texts("images"), word("source_url"))
+    parts = [h.join(low, "hotel_id", "left").select("hotel_id", F.lit(0).cast("long").alias("part"), own.alias("hotel"))]
+    for name, first, by, rest, fields in (
+        ("rooms", ["crawled_at"], ["price"], ["room_type_id", "name", "room_size", "max_occupancy", "bed_type", "room_view", "room_amenities", "images", "review_score"], ["id", whole("room_type_id"), word("name"), number("price"), word("room_size"), whole("max_occupancy"), word("bed_type"), "room_view", texts("room_amenities"), texts("images"), number("review_score")]),
+        ("nearby_places", [], ["distance_km"], ["name", "type"], ["id", word("name"), word("type"), number("distance_km")]),
+        ("activities", [], [], ["title", "description", "price_amount", "review_score"], ["id", word("title"), word("description"), number("price_amount"), number("review_score")]),
+    ):
+        # positions come from the key columns alone; both sides take the same first row, so only the items are shuffled whole
+        order = [*first, "hotel_id", *by]
+        keys = once(name, order, *order).select("id", "hotel_id", *by).join(h.select("hotel_id"), "hotel_id", "left_semi")
+        placed = R.positions(keys, "hotel_id", [*(F.col(c).asc_nulls_last() for c in by), F.col("id")]).select("id", F.col("hotel_id").alias("owner"), "position")
+        grouped = once(name, order, *order, *rest).join(placed, "id").groupBy(F.col("owner").alias("hotel_id"), F.floor((F.col("position") - 1) / PART_ROWS).alias("part")).agg(F.array_sort(F.collect_list(F.struct("position", F.struct(*fields).alias("item")))).alias("items"))
+        parts.append(grouped.select("hotel_id", "part", F.transform("items", lambda x: x["item"]).alias(name)))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    lists = [F.first(c, ignorenulls=True).alias(c) for c in ("hotel", "rooms", "nearby_places", "activities")]
+    return every.groupBy("hotel_id", "part").agg(*lists).select("hotel_id", "part", "hotel", *(F.coalesce(c, F.array()).alias(c) for c in ("rooms", "nearby_places", "activities")))
+
+
 @query()
 def sentence_chunks(spark, d):
     """Documents packed by characters."""

@@ -48,3 +48,14 @@ def test_query_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_hotel_documents_have_every_room_place_and_activity(spark, duck):
+    got = __spark_entry__.queries()["hotel_document_parts"](spark, DATA).orderBy("hotel_id", "part").collect()
+    hotels = {r[0] for r in duck.execute("SELECT DISTINCT id FROM hotels WHERE id IS NOT NULL").fetchall()}
+    assert {r.hotel_id for r in got if r.hotel} == hotels and sum(r.hotel is not None for r in got) == len(hotels) and all((r.hotel is not None) == (r.part == 0) for r in got)
+    first = "(SELECT * FROM rooms WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at) = 1)"
+    for name, source, order in (("rooms", first, "price NULLS LAST,"), ("nearby_places", "(SELECT DISTINCT id, hotel_id, distance_km FROM nearby_places)", "distance_km NULLS LAST,"), ("activities", "(SELECT DISTINCT id, hotel_id FROM activities)", "")):
+        want = duck.execute(f"SELECT hotel_id, id FROM {source} WHERE hotel_id IN (SELECT id FROM hotels) ORDER BY hotel_id, {order} id").fetchall()
+        assert [(r.hotel_id, x.id) for r in got for x in r[name]] == want and all(len(r[name]) <= 200 for r in got)
+    assert max(sum(len(r.rooms) for r in got if r.hotel_id == h) for h in hotels) > 20

@@ -181,3 +181,12 @@ def test_requests_become_filters(spark):
 
     with pytest.raises(ValueError):
         intent.check_request(top_k=51)
+
+
+def test_positions_of_a_hot_group_cover_all_its_rows(spark):
+    rows = [(1 if i % 10 else i, (i * 7919) % 500, i) for i in range(3000)] + [(None, 1, -1)]
+    got = sorted(tuple(r) for r in R.positions(spark.createDataFrame(rows, "g long, s long, id long"), "g", [F.col("s"), F.col("id")]).collect())
+    by = {}
+    for g, s, i in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1], r[2])):
+        by.setdefault(g, []).append((g, s, i))
+    assert got == sorted((*r, k) for v in by.values() for k, r in enumerate(v, 1))
