@@ -1,17 +1,25 @@
-"""Text functions on columns. All are built from JVM expressions; None stands for no text throughout."""
+"""Text functions on columns. All but ``composed`` are built from JVM expressions; None stands for no text throughout."""
 
 from __future__ import annotations
 
 import unicodedata
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters with marks that have a plain letter of the Latin script below them, by rule from the character database.
 _MARKED = [(c, b) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if (b := unicodedata.normalize("NFD", c)[0]) != c and b.isascii()]
 
 
+@F.pandas_udf(T.StringType())
+def composed(s: pd.Series) -> pd.Series:
+    """The text in canonical composition (NFC)."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def fold(text: Column, keep_d: bool = True) -> Column:
     """Lower case without marks; the letter đ is kept, or is d where ``keep_d`` is off."""
     low = F.lower(text)
