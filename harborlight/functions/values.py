@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lenient_float(text: Column) -> Column:
@@ -90,3 +93,13 @@ def lookup(key: Column, values: dict[str, str], default: str | None = None) -> C
     if not values:
         return F.lit(default)
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key), F.lit(default))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _counts(buckets: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else np.bincount(b, minlength=n).astype(float) for b, n in zip(buckets, size)])
+
+
+def hashed(words: Column, size: int = 256) -> Column:
+    """How many of the words fall into each of ``size`` buckets by their hash; a stand-in for an embedding."""
+    return _counts(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), F.lit(size))

@@ -213,17 +213,26 @@ def hybrid_modes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _near_texts(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """The documents nearest to each label by hashed vectors of folded words, which stand in for a model's; unlike BM25 they
+    find a word whatever its marks."""
+    numbers = asked.select("concept_id", F.xxhash64("concept_id").alias("query"), V.hashed(X.tokens(F.col("label_vi"), True)).alias("v"))
+    some = docs.where("text is not null").select("doc_id", V.hashed(X.tokens(F.col("text"), True)).alias("v"))
+    found = search.vector_search(some, "doc_id", "v", numbers, "query", "v", size).where("score > 0")
+    return found.join(numbers.select("concept_id", "query"), "query").select("concept_id", "doc_id", "score", "rank")
+
+
 @query()
 def full_hybrid_search(spark, d):
-    """BM25 and reranking by a pluggable scorer, here term overlap, with roll-up to hotels."""
+    """BM25 fused with the vector search, reranking by a pluggable scorer, here term overlap, with roll-up to hotels."""
     docs = table(spark, d, "documents").select("doc_id", "hotel_id", "text")
     asked = table(spark, d, "concepts").where("facet = 'amenity'").select("concept_id", "label_vi")
-    lex = _lexical(spark, d, 50)
+    lex, vec = _lexical(spark, d, 50), _near_texts(docs, asked, 50)
 
     def score(found: DataFrame) -> DataFrame:
         return found.join(docs, "doc_id").join(asked, "concept_id").withColumn("score", search.lexical_overlap(F.col("label_vi"), F.col("text"))).drop("text", "label_vi", "hotel_id")
 
-    ranked = search.hybrid("full_hybrid", lex, lex, "concept_id", "doc_id", score)
+    ranked = search.hybrid("full_hybrid", lex, vec, "concept_id", "doc_id", score)
     return search.roll_up(ranked.join(docs.select("doc_id", "hotel_id"), "doc_id").where("hotel_id is not null"), "concept_id", "hotel_id", "doc_id", 10)
 
 

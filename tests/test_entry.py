@@ -71,3 +71,12 @@ def test_cities_with_marks_or_other_signs_have_ids_and_texts(spark, tmp_path):
     assert got == {(nfc, 3, "DA_NANG"), ("Da Nang", 2, "DA_NANG_2"), ("H? N?i", 1, "H_N_I"), ("Huế", 2, "HUE"), ("Huế?", 1, "HUE_2"), ("???", 1, "PLACE"), ("樂", 1, "PLACE_2")}
     texts = {r.id: (r.name, r.n) for r in __spark_entry__.queries()["city_texts"](spark, str(tmp_path)).collect()}
     assert texts == {i: (c.strip() if i != 1 and i != 2 else nfc, len(unicodedata.normalize("NFC", c))) for i, c in enumerate(cities) if c is not None}
+
+
+def test_full_hybrid_search_finds_what_only_the_vectors_find(spark, tmp_path):
+    texts = ["Khách sạn có hồ bơi", "ho boi", "Nhà hàng ven sông"]
+    spark.createDataFrame([(i, 10 + i, t) for i, t in enumerate(texts)], "doc_id long, hotel_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("AMEN_POOL", "hồ bơi", "amenity")], "concept_id string, label_vi string, facet string").write.parquet(f"{tmp_path}/concepts.parquet")
+    lexical = __spark_entry__.queries()["bm25_topk"](spark, str(tmp_path)).collect()
+    got = __spark_entry__.queries()["full_hybrid_search"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in lexical} == {0} and {10, 11} <= {r.hotel_id for r in got}
