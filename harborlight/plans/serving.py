@@ -432,7 +432,7 @@ def overlap_chunks(spark, d):
 
 @query()
 def hotel_chunks(spark, d):
-    """All retrieval chunks of hotels."""
+    """Retrieval chunks of hotels, but FAQ, reviews and useful_info."""
     return chunking.hotel_chunks(*(table(spark, d, t) for t in ("hotels", "rooms", "nearby_places", "activities")))
 
 
