@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,70 +18,94 @@ _BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 _ENDS = {
     "paragraph": re.compile(rf"{_BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{_BREAK})+"),
     "sentence": re.compile(rf"[.!?…]+(?=\s)|[。！？]+|{_BREAK}"),
-    "word": re.compile(r"\s+"),
 }
+_TOKENS = re.compile(r"(\s+)")
 
 
-def boundaries(text: str) -> dict[str, list[int]]:
-    """Sorted offsets, in code points, after which the text may be cut, by level."""
-    return {k: [m.end() for m in p.finditer(text)] for k, p in _ENDS.items()}
-
-
-def _longest(text: str, cuts: list[int]) -> int:
-    """Length of the longest piece, trimmed of white space, when cut at every one of ``cuts``."""
-    most, start = 0, 0
-    for end in (*cuts, len(text)):
-        if end - start > most:
-            most = max(most, len(text[start:end].strip()))
-        start = end
-    return most
-
-
-def boundary_level(text: str, limit: int, cuts: dict[str, list[int]] | None = None) -> str:
-    """The coarsest level at which cutting everywhere leaves no trimmed piece over ``limit``; 'none' if there is none."""
-    cuts = cuts or boundaries(text)
-    return next((k for k in LEVELS if _longest(text, cuts[k]) <= limit), "none")
+class Offsets:
+    """A text's tokens (runs of signs and of white space) by prefix sums of their lengths, and its boundaries.
 
+    A level's boundaries are the sorted offsets after which the text may be cut, beside what each of them leaves when white
+    space before it is trimmed; both grow together, so the last boundary under a limit is a binary search.
+    """
 
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    def __init__(self, text: str):
+        self.text = text
+        sums = list(accumulate(map(len, _TOKENS.split(text)), initial=0))  # words and white space take turns
+        self.size, self._space_start, self._space_end = sums[-1], sums[1:-1:2], sums[2::2]
+        self._levels: dict[str, tuple[list[int], list[int]]] = {}
+
+    def level(self, name: str) -> tuple[list[int], list[int]]:
+        """A level's boundaries and what they leave."""
+        if name not in self._levels:
+            ends = self._space_end if name == "word" else [m.end() for m in _ENDS[name].finditer(self.text)]
+            self._levels[name] = ends, self._space_start if name == "word" else [self.before(e) for e in ends]
+        return self._levels[name]
+
+    def before(self, offset: int) -> int:
+        """The offset without the white space before it."""
+        k = bisect_left(self._space_start, offset) - 1
+        return self._space_start[k] if k >= 0 and self._space_end[k] >= offset else offset
+
+    def after(self, offset: int) -> int:
+        """The offset without the white space after it."""
+        k = bisect_right(self._space_start, offset) - 1
+        return self._space_end[k] if k >= 0 and self._space_end[k] > offset else offset
+
+    def last(self, level: str, start: int, limit: int, least: int, trimmed: bool) -> int | None:
+        """The last boundary of a level that keeps the piece from ``start`` within the limit, if it lies beyond ``least``."""
+        ends, shown = self.level(level)
+        k = bisect_right(shown, self.after(start) + limit) - 1 if trimmed else bisect_right(ends, start + limit) - 1
+        return ends[k] if k >= 0 and ends[k] > least else None
+
+
+def pieces(text: str, limit: int, overlap: int, levels: Sequence[str] = LEVELS, trimmed: bool = False, offsets: Offsets | None = None) -> list[tuple[int, int, str]]:
     """(start, end, boundary) of consecutive pieces of at most ``limit`` code points that cover the text.
 
-    A piece ends at the last paragraph boundary under the limit, else the last sentence boundary, else the last white
-    space, else hard at the limit. Each piece after the first starts ``overlap`` code points before the end of the one
-    before, or at the first word boundary after that point.
+    A piece ends at the last boundary under the limit of the first of ``levels`` that has one, else hard at the limit
+    ('none'). Each piece after the first starts ``overlap`` code points before the end of the one before, or at the first
+    word boundary after that point. With ``trimmed``, white space at a piece's ends doesn't count.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
-    cuts, out, start, n = boundaries(text), [], 0, len(text)
-    while n - start > limit:
-        least = out[-1][1] if out else start  # a piece must bring something new
-        end, kind = start + limit, "none"
-        for level in LEVELS:
-            k = bisect_right(cuts[level], start + limit)
-            if k and cuts[level][k - 1] > max(least, start + overlap):
-                end, kind = cuts[level][k - 1], level
-                break
+    at, out, start = offsets or Offsets(text), [], 0
+    n, words = at.size, at.level("word")[0]
+    rest = (lambda s: at.before(n) - at.after(s)) if trimmed else (lambda s: n - s)
+    while rest(start) > limit:
+        least = max(out[-1][1] if out else start, start + overlap)  # a piece must bring something new
+        found = next(((end, k) for k in levels if (end := at.last(k, start, limit, least, trimmed)) is not None), None)
+        end, kind = found or ((at.after(start) if trimmed else start) + limit, "none")
         out.append((start, end, kind))
         back = end - overlap
-        k = bisect_left(cuts["word"], back)
-        start = cuts["word"][k] if k < len(cuts["word"]) and cuts["word"][k] < end else back
+        k = bisect_left(words, back)
+        start = words[k] if overlap and k < len(words) and words[k] < end else back
     out.append((start, n, "end"))
     return out
 
 
+def level_pieces(text: str, limit: int) -> tuple[str, list[tuple[int, int, str]]]:
+    """The coarsest level whose boundaries alone cut the text without a hard cut, and the pieces; 'none' if hard cuts stay."""
+    at, cut = Offsets(text), []
+    for level in LEVELS:
+        cut = pieces(text, limit, 0, (level,), True, at)
+        if all(kind != "none" for _, _, kind in cut):
+            return level, cut
+    return "none", cut
+
+
 _SCHEMA = "id long, piece int, start_at int, end_at int, boundary string, level string, text string"
 _ARROW = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start_at", pa.int32()), ("end_at", pa.int32()), ("boundary", pa.string()), ("level", pa.string()), ("text", pa.string())])
 
 
-def _run(limit: int, overlap: int, with_text: bool):
+def _run(limit: int, overlap: int, one_level: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                level = boundary_level(text, limit)
-                for k, (a, b, kind) in enumerate(pieces(text, limit, overlap)):
-                    rows.append((key, k, a, b, kind, level, text[a:b] if with_text else None))
+                level, cut = level_pieces(text, limit) if one_level else (None, pieces(text, limit, overlap))
+                for k, (a, b, kind) in enumerate(cut):
+                    rows.append((key, k, a, b, kind, level, text[a:b]))
                     size += b - a
                 if size > 4_000_000 or len(rows) > 20_000:
                     yield _batch(rows)
@@ -95,19 +120,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 100, with_text: bool = True) -> DataFrame:
+def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 100, one_level: bool = False) -> DataFrame:
     """The numbered pieces of every text longer than ``limit`` code points.
 
     Nulls and texts within the limit give no rows; text is never dropped or altered, so the pieces without their
-    overlaps join to the text. A key that comes again with the same text gives its pieces once per row.
+    overlaps join to the text. A key that comes again with the same text gives its pieces once per row. ``one_level`` cuts
+    a text without overlap at the coarsest level that alone leaves no piece, trimmed of white space, over the limit, and
+    names it in ``level`` ('none' if every level leaves one).
     """
     long = df.where((F.char_length(F.col(text)) > limit) & F.col(key).isNotNull()).select(F.col(key).cast("long"), F.col(text))
-    return long.mapInArrow(_run(limit, overlap, with_text), _SCHEMA)
+    return long.mapInArrow(_run(limit, overlap, one_level), _SCHEMA)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    """The coarsest sufficient boundary of each description over 1,000 code points."""
-    cut = split_texts(table(spark, sf_dir, "hotels"), "id", "description", with_text=False).where("piece = 0")
+    """The level at which the pieces of each description over 1,000 code points are cut, one row a description."""
+    cut = split_texts(table(spark, sf_dir, "hotels"), "id", "description", one_level=True)
     return cut.select(F.col("id").alias("hotel_id"), F.col("level").alias("boundary")).distinct()
 
 

@@ -59,13 +59,37 @@ def test_pieces_cover_the_text_under_the_limit(text, limit, overlap):
     assert whole == text
 
 
+def level_of(text, limit):
+    level, cut = split.level_pieces(text, limit)
+    assert "".join(text[a:b] for a, b, _ in cut) == text and all(len(text[a:b].strip()) <= limit for a, b, _ in cut)
+    return level
+
+
+def brute_level(text, limit):
+    """The definition: cut at every boundary of a level and look at every piece."""
+    for level in split.LEVELS:
+        ends = split.Offsets(text).level(level)[0]
+        if all(len(text[a:b].strip()) <= limit for a, b in itertools.pairwise([0, *ends, len(text)])):
+            return level
+    return "none"
+
+
+def test_levels_follow_from_the_pieces_and_their_boundaries(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "bc", " ", "  ", ". ", "\n", "\n \n", "。", "x" * 9]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    assert {level_of(t, 20) for t in texts} == {"paragraph", "sentence", "word", "none"}
+    assert all(level_of(t, 20) == brute_level(t, 20) for t in texts)
+    monkeypatch.setattr(split.Offsets, "last", lambda *_: None)  # without the search only hard cuts are left
+    assert {split.level_pieces(t, 20)[0] for t in texts if len(t.strip()) > 20} == {"none"}
+
+
 def test_levels_of_boundaries():
-    assert split.boundary_level("a" * 60 + "\n \t\n" + "b" * 60, 100) == "paragraph"
-    assert split.boundary_level("a" * 60 + "\n" + "b" * 60, 100) == "sentence"
-    assert split.boundary_level("a" * 60 + ". " + "b" * 60, 100) == "sentence"
-    assert split.boundary_level("a" * 60 + ".b" + "b" * 60, 100) == "none"
-    assert split.boundary_level("あ" * 60 + "。" + "い" * 60, 100) == "sentence"
-    assert split.boundary_level("a" * 60 + " " + "b" * 60, 100) == "word"
+    assert level_of("a" * 60 + "\n \t\n" + "b" * 60, 100) == "paragraph"
+    assert level_of("a" * 60 + "\n" + "b" * 60, 100) == "sentence"
+    assert level_of("a" * 60 + ". " + "b" * 60, 100) == "sentence"
+    assert level_of("a" * 60 + ".b" + "b" * 60, 100) == "none"
+    assert level_of("あ" * 60 + "。" + "い" * 60, 100) == "sentence"
+    assert level_of("a" * 60 + " " + "b" * 60, 100) == "word"
     with pytest.raises(ValueError):
         split.pieces("a", 5, 5)
 
