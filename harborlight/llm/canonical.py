@@ -12,27 +12,41 @@ from pyspark.sql import types as T
 
 from ..tables import cut_lineage, table
 
-# Letters of other scripts that look like a Latin one, each above its twin.
-LOOK_ALIKE = "АВЕКМНОРСТУХЅІЈҮаеорсухѕіјһԁԛԝӏЁЇёїΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳօÐƉ‐‑․"
-LATIN_TWIN = "ABEKMHOPCTYXSIJYaeopcyxsijhdqwlËÏëïABEZHIKMNOPTYXocjoĐĐ--."
+# Letters of other scripts that look like a Latin one, each above its twin: Cyrillic, Greek, Latin, Armenian,
+# Cherokee, Lisu, Roman numerals, signs.
+LOOK_ALIKE = "АВЕКМНОРСТУХЅІЈҮԌѴаеорсухѕіјһԁԛԝӏѵүЁЇёї" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳνρ" "ÐƉ" "ՕՏօհսո" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏚᏙᏞᏟᏢᏦ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ" "‐‑․∶ʼ"
+LATIN_TWIN = "ABEKMHOPCTYXSIJYGVaeopcyxsijhdqwlvyËÏëï" "ABEZHIKMNOPTYXocjvp" "ĐĐ" "OSohun" "DRTAJEWMHGZRWSVLCPK" "BPDTGKJCZFMNLSRVHWXYAEIOU" "IVXLCDMivxlcdm" "--.:’"
 # Full-width signs outside the block that follows by rule.
 WIDE, PLAIN = "￠￡￢￤￥￦", "¢£¬¦¥₩"
 #: All white space beyond what ASCII has; it looks like one space.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
+#: Characters that don't show although the collation gives them weights or leaves them in: fillers, variation selectors.
+FILLERS = "\u034f\u115f\u1160\u3164\uffa0" + "".join(map(chr, range(0xFE00, 0xFE10)))
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_FROM = LOOK_ALIKE + WIDE + _FULL + SPACES
+_FROM = LOOK_ALIKE + WIDE + _FULL + SPACES + FILLERS
 _TO = LATIN_TWIN + PLAIN + "".join(chr(ord(c) - 0xFEE0) for c in _FULL) + " " * len(SPACES)
-#: What doesn't show: format and control characters but white space and joined emoji, fillers and variation selectors.
-_HIDDEN = r"(?:(?!\x{200D})[\p{Cf}\p{Cc}&&[^\s\x{85}]]|(?<![\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}])\x{200D}|[\x{34F}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}])+"
-
-#: Texts that go through Python: with combining marks, Greek or Cyrillic letters, Hangul parts, or any other character that
-#: canonical composition replaces (signs such as the Kelvin's, compatibility ideographs).
-_APART = r"[\p{M}\x{370}-\x{52F}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}\x{A36}\x{A59}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+#: What doesn't show and the collation ignores: format and control characters but white space.
+_HIDDEN = r"[\p{Cf}\p{Cc}&&[^\s\x{85}]]"
+_PICTURE = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
+
+#: Ligatures and half-width kana, which stand for the characters they are made of.
+_MADE_OF = {c: unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFB00, 0xFB07), *range(0xFF61, 0xFFDD)) if c != 0xFFA0}
+#: Texts that go through Python: with combining marks, Greek or Cyrillic letters, Hangul parts, ligatures, half-width kana,
+#: or letters that canonical composition takes apart. Other canonically equal signs are left to the collation.
+_APART = r"[\p{M}\x{370}-\x{52F}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}\x{A36}\x{A59}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2ADC}\x{FB00}-\x{FB06}\x{FB1D}-\x{FB4E}\x{FF61}-\x{FFDC}\x{1D15E}-\x{1D1C0}]"
+#: Characters among which the collation takes only canonically equal ones for equal, besides those it ignores. Texts with any
+#: other (digits and letters of other scripts, circled and mathematical signs, marks, joined pictures) get an exact check.
+_SURE = (
+    r"\x00-\x{A9}\x{AB}-\x{B3}\x{B5}-\x{B9}\x{BB}-\x{E5}\x{E7}-\x{EF}\x{F1}-\x{126}\x{128}-\x{17E}\x{180}-\x{1BD}\x{1BF}-\x{1F2}\x{1F4}-\x{24F}\x{386}-\x{482}\x{48A}-\x{52F}\x{1E00}-\x{1EFF}"
+    r"\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{206F}\x{20A0}-\x{20C0}\x{2126}\x{212A}\x{212B}\x{2190}-\x{23FF}\x{2500}-\x{2775}\x{2794}-\x{27BF}\x{3001}-\x{3006}\x{3008}-\x{3020}\x{3041}-\x{3096}\x{309D}-\x{30FF}"
+    r"\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FEFF}\x{1F300}-\x{1FAFF}\x{20000}-\x{2A6DF}\x{2F800}-\x{2FA1D}\x{E0001}-\x{E007F}"
+)
+_UNSURE = rf"[^{_SURE}]|{_PICTURE}\x{{200D}}"
 
 
 @F.pandas_udf(T.StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t.translate(_MADE_OF)))
 
 
 @F.pandas_udf(T.StringType())
@@ -41,18 +55,25 @@ def _composed(s: pd.Series) -> pd.Series:
 
 
 def look_alike(text: Column) -> Column:
-    """The text with hidden characters taken out, every character replaced by the plainest one that looks like it, runs of
-    white space as one space, none at the ends. Null gives null. Case, accents and punctuation stay.
+    """The text with every character replaced by the plainest one that looks like it, runs of white space as one space, none
+    at the ends. Null gives null. Case, accents and punctuation stay; hidden characters within words are left to the collation.
 
     Only texts that match ``_APART`` go through Python: their letters are mapped apart from their marks and composed again,
-    as the collation doesn't reorder a mark behind a composed letter. So all texts come out in canonical composition.
+    as the collation doesn't reorder a mark behind a composed letter.
     """
     marked = text.rlike(_APART)
     apart = F.coalesce(_decomposed(F.when(marked, text)), text)
-    mapped = F.trim(F.regexp_replace(F.translate(F.regexp_replace(apart, _HIDDEN, ""), _FROM, _TO), r"\s+", " "))
+    spaced = F.regexp_replace(F.translate(apart, _FROM, _TO), rf"{_HIDDEN}*\s[\s{_HIDDEN}]*", " ")
+    mapped = F.regexp_replace(spaced, rf"^[\s{_HIDDEN}]+|[\s{_HIDDEN}]+$", "")
     return F.coalesce(_composed(F.when(marked, mapped)), mapped)
 
 
+def consistent(mapped: Column) -> Column:
+    """A mapped text in its final form: composed, without hidden characters but the joiner of pictures."""
+    shown = F.regexp_replace(mapped, rf"(?:(?!\x{{200D}}){_HIDDEN}|(?<!{_PICTURE})\x{{200D}})+", "")
+    return F.when(shown.rlike(r"[^\x00-\x{2FF}\x{1E00}-\x{1EFF}]"), _composed(shown)).otherwise(shown)
+
+
 def _values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     long = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("stored")) for f in fields))).alias("v")).select("id", "v.field", "v.stored")
     return long.withColumn("mapped", look_alike(F.col("stored"))).where("mapped != ''")
@@ -66,33 +87,41 @@ def _collation_key(text: Column) -> Column:
     return Column(bridge.column(jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(bridge.expression(F.collate(text, "UNICODE")._jc))))
 
 
-def _class() -> list[Column]:
-    """The class of a mapped text: hashes of its collation key and of itself."""
-    return [F.xxhash64(_collation_key(F.col("mapped"))).alias("look"), F.xxhash64("mapped").alias("exact")]
+_CLASS = ["field", "look", "exact"]
 
 
 def _keys(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id, field, look, exact, stored): hashes of the key under the Unicode collation, of the mapped and of the stored text.
+    """(id, field, look, exact, stored): the hash of the key under the Unicode collation, the exact check where it is needed
+    (null elsewhere), the hash of the stored text.
 
-    UNICODE compares case, accents and punctuation and ignores what doesn't show. It also takes some sequences of other
-    scripts for equal that differ (a Thai vowel before or after its letter); the hash of the mapped text, which is in
-    canonical composition, tells them apart and keeps canonically equal texts together.
+    UNICODE compares case, accents and punctuation, ignores what doesn't show, and takes canonically equal texts for equal;
+    so the key alone gives the class of texts whose characters are all among ``_SURE``. It also takes digits of several
+    scripts, variants of one sign and some sequences (a Thai vowel before or after its letter) for equal, which look
+    different; texts with such characters are told apart by the hash of their final form.
     """
-    v = _values(df, key, fields)
-    return v.select("id", "field", *_class(), F.expr("xxhash64(stored)").alias("stored"))
+    mapped = F.col("mapped")
+    exact = F.when(mapped.rlike(_UNSURE), F.xxhash64(consistent(F.when(mapped.rlike(_UNSURE), mapped)))).otherwise(F.lit(0)).alias("exact")
+    return _values(df, key, fields).select("id", "field", F.xxhash64(_collation_key(mapped)).alias("look"), exact, F.xxhash64("stored").alias("stored"))
+
+
+def membership(keys: DataFrame) -> DataFrame:
+    """(field, canonical_id, canonical_stored, id, stored): every value with the canonical member of its class, the one with
+    the smallest id. Partial aggregation finds it, however large a class is."""
+    first = keys.groupBy(*_CLASS).agg(F.min(F.struct("id", "stored")).alias("c"))
+    return keys.join(first, _CLASS).select("field", F.col("c.id").alias("canonical_id"), F.col("c.stored").alias("canonical_stored"), "id", "stored")
 
 
 def look_alike_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(field, id_a, id_b): keys, smaller first, whose values look the same but aren't equal as stored.
 
     Null and blank values have no pairs; a key that comes again with the same values counts once. Texts are shuffled
-    nowhere: classes are found on hashes, and only classes with more than one stored spelling are joined back. Pairs are
-    formed between spellings first, so copies of one spelling, however many, never meet each other.
+    nowhere: classes are found on hashes, and only classes with more than one stored spelling are joined back to their
+    canonical member. Pairs are formed between spellings first, so copies of one spelling, however many, never meet.
     """
     keys = cut_lineage(_keys(df, key, fields))
-    cls = ["field", "look", "exact"]
-    mixed = keys.groupBy(*cls).agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select(*cls)
-    members = keys.join(mixed, cls, "left_semi").distinct()
+    mixed = keys.groupBy(*_CLASS).agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select(*_CLASS)
+    members = membership(keys.join(mixed, _CLASS, "left_semi")).distinct()
+    cls = ["field", "canonical_id", "canonical_stored"]
     spellings = members.select(*cls, "stored").distinct()
     two = spellings.withColumnRenamed("stored", "a").join(spellings.withColumnRenamed("stored", "b"), cls).where("a < b")
     left = two.join(members.select(*cls, F.col("stored").alias("a"), F.col("id").alias("x")), [*cls, "a"])
@@ -101,15 +130,16 @@ def look_alike_pairs(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def canonical(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(id, field, canonical_id, canonical): each value in the form of its class.
+    """(id, field, canonical_id, canonical): each value in the form of its class's canonical member, joined back to it.
 
-    Values are grouped by their key under the accent-sensitive Unicode collation and an exact check; the class's member is the one with the smallest id,
-    whose mapped text stands for all. Null and blank values give no rows; rows that repeat a key count once.
+    The member is the one with the smallest id. Null and blank values give no rows; rows that repeat a key count once.
     """
+    members = membership(cut_lineage(_keys(df, key, fields))).distinct()
+    heads = members.select("field", "canonical_id", "canonical_stored").distinct()
     v = _values(df, key, fields)
-    rows = v.select("id", "field", *_class(), F.col("mapped").alias("canonical"))
-    keys = _keys(df, key, fields).groupBy("field", "look", "exact").agg(F.min("id").alias("canonical_id"))
-    return rows.join(keys, ["field", "look", "exact"]).select("id", "field", "canonical_id", "canonical").dropDuplicates(["id", "field"])
+    texts = v.select("field", F.col("id").alias("canonical_id"), F.xxhash64("stored").alias("canonical_stored"), "mapped")
+    forms = texts.join(heads, ["field", "canonical_id", "canonical_stored"], "left_semi").dropDuplicates(["field", "canonical_id", "canonical_stored"]).withColumn("canonical", consistent(F.col("mapped"))).drop("mapped")
+    return members.join(forms, ["field", "canonical_id", "canonical_stored"]).select("id", "field", "canonical_id", "canonical").dropDuplicates(["id", "field"])
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:

@@ -54,8 +54,12 @@ def _quoted(text: str) -> str:
 def _p5() -> str:
     """The look-alike key in SQL: hidden characters out, letters mapped, composed, white space as one space."""
     hidden = r"[\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{115f}\x{1160}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{feff}\x{ffa0}\x{fe00}-\x{fe0f}]"
-    extra, twin = "ӐӑЀѐӖӗЙй", "ĂăÈèĔĕЙй"
-    key = f"trim(regexp_replace(nfc_normalize(translate(regexp_replace(v, '{hidden}', '', 'g'), {_quoted(canonical._FROM + extra)}, {_quoted(canonical._TO + twin)})), '[\\s\\x{{1c}}-\\x{{1f}}]+', ' ', 'g'))"
+    # Fixed values, written down for the SQL alone: Cyrillic, Greek and other letters beside what they look like; signs of the
+    # full-width block lie 0xFEE0 above theirs.
+    letters = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҮY аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ЁË ЇÏ ёë їï ӐĂ ӑă ЀÈ ѐè ӖĔ ӗĕ"
+    letters += " ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp ὸò ÐĐ ƉĐ ‐- ‑-"
+    pairs = letters.split() + [chr(c) + chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)] + [chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    key = f"trim(regexp_replace(nfc_normalize(translate(regexp_replace(v, '{hidden}', '', 'g'), {_quoted(''.join(p[0] for p in pairs))}, {_quoted(''.join(p[1] for p in pairs))})), '[\\s\\x{{1c}}-\\x{{1f}}]+', ' ', 'g'))"
     return f"""
 WITH v AS (SELECT DISTINCT id, 'name' AS field, name AS v FROM hotels WHERE name IS NOT NULL
            UNION SELECT DISTINCT id, 'description', description FROM hotels WHERE description IS NOT NULL),

@@ -124,14 +124,45 @@ def test_canonically_equal_texts_pair_under_the_collation(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
     forms = {r.id: (r.canonical_id, r.canonical) for r in canonical.canonical(docs(spark, rows), "id", ["t"]).collect()}
     assert all(forms[a] == forms[b] for a, b in got)
-    hashes = docs(spark, rows).select("id", F.col("t").alias("mapped")).select("id", *canonical._class()).collect()
-    look = {r.id: r.look for r in hashes}
+    keys = canonical._keys(docs(spark, rows), "id", ["t"]).collect()
+    look, exact = {r.id: r.look for r in keys}, {r.id: r.exact for r in keys}
     assert all(look[a] == look[b] for a, b in got) and len(set(look.values())) == len(pairs)
+    assert all(exact[i] == 0 for i in range(8))  # the collation alone decides here
 
 
-def test_every_character_that_composition_replaces_goes_through_it(spark):
-    changed = [c for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.normalize("NFC", c) != c and c not in canonical.SPACES]
-    assert docs(spark, [(ord(c), c) for c in changed]).where(~F.col("t").rlike(canonical._APART)).count() == 0
+def test_without_the_collation_pairs_are_lost(spark, monkeypatch):
+    rows = [(1, "5 K"), (2, "5 \u212a"), (3, "ho\u200btel"), (4, "hotel"), (5, "\u6a02"), (6, "\uf914")]
+    assert canonical.look_alike_pairs(docs(spark, rows), "id", ["t"]).count() == 3
+    monkeypatch.setattr(canonical, "_collation_key", lambda text: text)
+    assert canonical.look_alike_pairs(docs(spark, rows), "id", ["t"]).count() == 0
+
+
+def test_what_the_collation_confuses_is_told_apart(spark):
+    apart = ["12", "١٢", "①②", "x²", "x2", "เก", "กเ", "𝐀", "𝐴", "👨\u200d👩", "👨👩", "Ⅳ", "IV"]
+    assert canonical.look_alike_pairs(docs(spark, list(enumerate(apart))), "id", ["t"]).count() == 0
+    same = [("ﬁn", "fin"), ("ｶﾞ", "ガ"), ("Ⅹ", "X"), ("Ꮇ", "M"), ("a\u200b \u200bb", "a b"), ("\u200b x", "x"), ("1\ufe0f", "1")]
+    rows = [(2 * i + j, t) for i, p in enumerate(same) for j, t in enumerate(p)]
+    assert {(r.id_a, r.id_b) for r in canonical.look_alike_pairs(docs(spark, rows), "id", ["t"]).collect()} == {(2 * i, 2 * i + 1) for i in range(len(same))}
+
+
+def test_the_collation_errs_for_no_sure_character(spark):
+    every = [c for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x30000))) if unicodedata.category(c) not in ("Cn", "Co")]
+    df = docs(spark, [(ord(c), c) for c in every])
+    key = F.xxhash64(canonical._collation_key(F.concat(F.lit("a"), F.translate("t", canonical._FROM, canonical._TO), F.lit("b"))))
+    sure = df.where(~F.translate("t", canonical._FROM, canonical._TO).rlike(canonical._UNSURE) & ~F.col("t").rlike(canonical._APART)).select("t", key.alias("k"), F.translate("t", canonical._FROM, canonical._TO).alias("m")).collect()
+    by = {}
+    for r in sure:
+        if r.m.strip() and unicodedata.category(r.m) not in ("Cc", "Cf"):
+            by.setdefault(r.k, set()).add(unicodedata.normalize("NFC", r.m))
+    assert len(sure) > 80_000 and all(len(v) == 1 for v in by.values())
+    ignored = {r.k for r in sure if r.m and unicodedata.category(r.m) in ("Cc", "Cf") and not r.m.isspace()}
+    assert len(ignored) == 1 and not ignored & set(by)
+
+
+def test_canonically_equal_characters_are_composed_or_sure(spark):
+    changed = [(c, unicodedata.normalize("NFC", c)) for c in map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))) if unicodedata.normalize("NFC", c) != c and c not in canonical.SPACES]
+    df = spark.createDataFrame(changed, "t string, n string")
+    assert df.where(~F.col("t").rlike(canonical._APART) & (F.col("t").rlike(canonical._UNSURE) | F.col("n").rlike(canonical._UNSURE))).count() == 0
 
 
 # --- 7: mapping
