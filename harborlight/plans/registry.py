@@ -11,6 +11,7 @@ QUERIES: dict[str, Callable] = {
     "p2_found": shred.p2_found,
     "p2_faq": shred.p2_faq,
     "p2_comments": shred.p2_comments,
+    "p2_members": shred.p2_members,
     "p3_found": geo.p3_found,
     **serving.QUERIES,
     **knowledge.QUERIES,

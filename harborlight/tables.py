@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table of its own in the shared folder and read again; cuts the lineage and keeps columns apart, so
+    that each use reads only those it needs."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that does not clash with any of ``df``, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -1,12 +1,15 @@
 import json
 
-from harborlight.operators.shred import adjacency, entity_table, parse
+import pytest
+
+from harborlight.operators import shred
+from harborlight.operators.shred import adjacency, entity_table, filled, parse
 
 
 def paths(spark, rows):
     df = spark.createDataFrame(rows, "id long, name string, faq string")
-    out = adjacency(df, "id", ["faq"], only_objects=True).where("size > 0").collect()
-    return {(r.id, r.path, r.owner) for r in out}
+    out = filled(adjacency(df, "id", ["faq"])).collect()
+    return {(r.id, r.path, r.parent_path) for r in out}
 
 
 def test_nested_arrays_optional_members_and_encoded_values(spark):
@@ -40,5 +43,28 @@ def test_deep_nesting_and_long_text():
 def test_entity_table_ties_children_to_parents(spark):
     df = spark.createDataFrame([(1, json.dumps([{"question": "q1", "answer": None, "followups": [{"question": "q2", "answer": 3}]}]))], "id long, faq string")
     flat = {r.path: r for r in entity_table(adjacency(df, "id", ["faq"]), r"faq\[\d+\]", ["question", "answer"]).collect()}
-    assert flat["faq[0]"].question == "q1" and flat["faq[0]"].answer is None and flat["faq[0]"].owner == ""
-    assert flat["faq[0].followups[0]"].answer == "3" and flat["faq[0].followups[0]"].owner == "faq[0]"
+    assert flat["faq[0]"].question == "q1" and flat["faq[0]"].answer is None and flat["faq[0]"].parent_path == ""
+    assert flat["faq[0].followups[0]"].answer == "3" and flat["faq[0].followups[0]"].parent_path == "faq[0]"
+
+
+@pytest.mark.parametrize("most", [5_000, 0])
+def test_deep_objects_repeated_records_and_long_lists_of_shapes(spark, monkeypatch, most):
+    monkeypatch.setattr(shred, "MOST_SHAPES", most)
+    value, want, path = {"end": 1}, set(), "faq"
+    for _ in range(20):
+        value = {"x": [None, value], "one": {"y": 0}}
+    deep = json.dumps(value)
+    for k in range(21):
+        above = path.rsplit(".", 1)[0] if k else ""
+        want |= {(i, path, above) for i in (1, 1)}
+        if k < 20:
+            want.add((1, f"{path}.one", path))
+        path += ".x[1]"
+    assert paths(spark, [(1, "a", deep), (1, "b", deep)]) == want
+    assert paths(spark, [(1, "a", '{"m": {"k": 1}}'), (2, "a", '{"m": [{"k": 1}]}')]) == {(1, "faq", ""), (2, "faq", ""), (1, "faq.m[0]", "faq"), (2, "faq.m[0]", "faq")}
+
+
+def test_objects_without_children_come_from_the_links(spark):
+    nodes = adjacency(spark.createDataFrame([(1, '{"a": {}, "b": {"c": null}}')], "id long, faq string"), "id", ["faq"])
+    assert {r.path for r in shred.objects(nodes).collect()} == {"faq", "faq.a", "faq.b"} and {r.path for r in filled(nodes).collect()} == {"faq", "faq.b"}
+    assert {r.path for r in shred.objects(nodes.where("parent < 0 or label <> 'b'")).collect()} == {"faq", "faq.a"}
