@@ -54,6 +54,10 @@ def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Texts of these characters alone, the great part, need nothing but their white space mapped.
+_PLAIN = r"[^\t-\r\x20-\x7E\x{C0}-\x{CF}\x{D1}-\x{E5}\x{E7}-\x{EF}\x{F1}-\x{126}\x{128}-\x{17E}\x{1A0}-\x{1B0}\x{1E00}-\x{1EFF}\x{2013}-\x{201F}\x{2026}]"
+
+
 def look_alike(text: Column) -> Column:
     """The text with every character replaced by the plainest one that looks like it, runs of white space as one space, none
     at the ends. Null gives null. Case, accents and punctuation stay; hidden characters within words are left to the collation.
@@ -61,11 +65,13 @@ def look_alike(text: Column) -> Column:
     Only texts that match ``_APART`` go through Python: their letters are mapped apart from their marks and composed again,
     as the collation doesn't reorder a mark behind a composed letter.
     """
-    marked = text.rlike(_APART)
+    other = text.rlike(_PLAIN)
+    marked = other & text.rlike(_APART)
     apart = F.coalesce(_decomposed(F.when(marked, text)), text)
     spaced = F.regexp_replace(F.translate(apart, _FROM, _TO), rf"{_HIDDEN}*\s[\s{_HIDDEN}]*", " ")
     mapped = F.regexp_replace(spaced, rf"^[\s{_HIDDEN}]+|[\s{_HIDDEN}]+$", "")
-    return F.coalesce(_composed(F.when(marked, mapped)), mapped)
+    composed = F.coalesce(_composed(F.when(marked, mapped)), mapped)
+    return F.when(other, composed).otherwise(F.trim(F.regexp_replace(text, r"\s{2,}|[\t-\r]", " ")))
 
 
 def consistent(mapped: Column) -> Column:
@@ -100,8 +106,9 @@ def _keys(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     different; texts with such characters are told apart by the hash of their final form.
     """
     mapped = F.col("mapped")
-    exact = F.when(mapped.rlike(_UNSURE), F.xxhash64(consistent(F.when(mapped.rlike(_UNSURE), mapped)))).otherwise(F.lit(0)).alias("exact")
-    return _values(df, key, fields).select("id", "field", F.xxhash64(_collation_key(mapped)).alias("look"), exact, F.xxhash64("stored").alias("stored"))
+    unsure = F.when(mapped.rlike(_PLAIN), mapped.rlike(_UNSURE)).otherwise(F.lit(False))
+    exact = F.when(F.col("unsure"), F.xxhash64(consistent(F.when(F.col("unsure"), mapped)))).otherwise(F.lit(0)).alias("exact")
+    return _values(df, key, fields).withColumn("unsure", unsure).select("id", "field", F.xxhash64(_collation_key(mapped)).alias("look"), exact, F.xxhash64("stored").alias("stored"))
 
 
 def membership(keys: DataFrame) -> DataFrame:

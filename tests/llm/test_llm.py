@@ -300,11 +300,26 @@ def test_pages_and_content(spark):
     assert residue.find_residue(df.limit(0), "doc_id", "source", "text").count() == 0
 
 
-def test_needed_words_lose_no_page():
-    lines = [p for p in [*residue.ERROR, *residue.SCRIPT, *residue.FILLER]]
-    assert len(lines) > 50
-    for t in ["Cette page est introuvable", "Oops! Something went wrong on our side.", "请启用脚本后再访问本页。", "Mô tả mô tả.", "KeyError: 'summary'", "Lỗi 404: không tìm thấy trang yêu cầu", "Beispieltext für die Seite."]:
-        assert residue.split_page(t)[0] and not residue.residual(residue.split_page(t)[1], [])
+WORDINGS = """The requested URL was not found on this server.|You must enable JavaScript to view this page.|500 Internal Server Error|Checking your browser before accessing the site.|Content goes here.|HTTP Error 503. The service is unavailable.|Access to this page has been denied.|Please turn JavaScript on and reload the page.
+This site is currently undergoing scheduled maintenance. Please check back shortly.|Error establishing a database connection|You don't have permission to access this page.|Insert your text here|Your session has expired. Please log in again.|Whoops, looks like something went wrong.|Trang bạn yêu cầu không tồn tại.|Website đang được bảo trì, vui lòng quay lại sau ít phút.
+Bạn cần bật JavaScript để sử dụng trang web này.|Nội dung đang được cập nhật|Cette page n'existe plus.|Die angeforderte Seite existiert nicht.|La página solicitada no existe|Página não encontrada|Halaman yang Anda cari tidak ada|Ошибка 404. Страница не существует|서버 점검 중입니다|現在メンテナンス中です|抱歉，您访问的页面不存在|ไม่พบหน้าที่คุณต้องการ|java.lang.NullPointerException: x"""
+
+
+def test_wordings_of_notices_and_sentences_that_mention_them():
+    notices = WORDINGS.replace("\n", "|").split("|")
+    assert [t for t in notices if not residue.is_page(residue.fold(t), ())] == []
+    told = ["Phòng 404 nằm cuối hành lang, cửa hơi kẹt.", "Lúc đặt phòng trang web báo lỗi 500 nhưng gọi điện thì nhân viên xử lý rất nhanh.", "Our server was out of mangoes, an internal joke by the second day.", "The pool was under maintenance during our stay.", "The sign at the door said Access Denied, we laughed.", "Quán Lorem ở tầng trệt pha cà phê khá đậm.", "Internet temporarily unavailable on floor 3 but staff helped us quickly.", "rất rất rất đẹp"]
+    assert [t for t in told if residue.is_page(residue.fold(t), ())] == []
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_the_counts_of_lines_by_host_decide(spark, monkeypatch, most):
+    monkeypatch.setattr(residue, "MOST_KNOWN", most)
+    menu, real = "Suites Dining Spa Gallery", "Breakfast by the river was lovely."
+    rows = [(i, "h", f"404 Not Found\n{menu}") for i in range(4)] + [(10, "h", f"{menu} Seite nicht gefunden"), (11, "other", f"Seite nicht gefunden\n{menu}"), (12, "h", f"{real}\nSeite nicht gefunden"), (13, "h", menu), (14, None, real)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = lambda **k: {r.doc_id for r in residue.find_residue(df, "doc_id", "source", "text", **k).collect()}
+    assert found() == {0, 1, 2, 3, 10} and found(recurrent=5) == set()
 
 
 # --- 1: languages
