@@ -319,7 +319,7 @@ def test_the_counts_of_lines_by_host_decide(spark, monkeypatch, most):
     rows = [(i, "h", f"404 Not Found\n{menu}") for i in range(4)] + [(10, "h", f"{menu} Seite nicht gefunden"), (11, "other", f"Seite nicht gefunden\n{menu}"), (12, "h", f"{real}\nSeite nicht gefunden"), (13, "h", menu), (14, None, real)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     found = lambda **k: {r.doc_id for r in residue.find_residue(df, "doc_id", "source", "text", **k).collect()}
-    assert found() == {0, 1, 2, 3, 10} and found(recurrent=5) == set()
+    assert found() == {0, 1, 2, 3, 10} and found(recurrent=6) == set()
 
 
 # --- 1: languages
