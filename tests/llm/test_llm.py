@@ -172,11 +172,11 @@ ENTRIES = [("C1", ["Trà Dương", "Tra Duong", "TP. Trà Dương"]), ("C2", ["V
 
 @pytest.mark.parametrize(
     ("value", "entry"),
-    [("tra duong", "C1"), (" TRÀ  DƯƠNG ", "C1"), ("Thành phố Trà Dương", "C1"), ("Trà Dương (Vân Bửu)", "C1"), ("Tỉnh Vân Rồng Dương, Thanh Khê", "C3"), ("Tra Duog", "C1"), ("Vân Rồn Dương", "C2"), ("Trà Dương City", "C1")]
-    + [(v, mapping.NONE) for v in ("Lam Hoài Dương", "-", "???", "1", "N/A", "Trà Dương Thượng Hạ", "x" * 20_000)],
+    [("tra duong", "C1"), (" TRÀ  DƯƠNG ", "C1"), ("Thành phố Trà Dương", "C1"), ("Trà Dương (Vân Bửu)", "C1"), ("Tỉnh Vân Rồng Dương, Thanh Khê", "C3"), ("Tra Duog", "C1"), ("Vân Rồn Dương", "C2"), ("Trà Dương City", "C1"), ("khách sạn ở Trà Dương", "C1"), ("nhà nghỉ gần tra duong", "C1"), ("ks ven biển Trà Dương", "C1"), ("Khê Thanh", "C3")]
+    + [(v, mapping.NONE) for v in ("Lam Hoài Dương", "-", "???", "1", "N/A", "Trà Dương Thượng Hạ", "trà dương thượng hạ", "Linh Trà Dương", "x" * 20_000)],
 )
 def test_cities(value, entry):
-    assert mapping.Mapper(ENTRIES, "city").match(value) == entry
+    assert mapping.decide([mapping.Mapper(ENTRIES)], "city", value) == entry
 
 
 def test_map_values_reports_every_value(spark):
@@ -187,6 +187,25 @@ def test_map_values_reports_every_value(spark):
     assert mapping.map_values(values, concepts.limit(0)).count() == 0 and mapping.map_values(values.limit(0), concepts).count() == 0
 
 
+@pytest.mark.parametrize("value", ["tra duong", "Trà Dương Thượng Hạ", "khách sạn ở Trà Dương", "Vân Rồn Dương", "Khê Thanh", "Lam Hoài Dương", "Tỉnh Vân Rồng Dương, Thanh Khê", "-"])
+def test_blocks_of_the_list_find_what_the_whole_list_finds(value):
+    blocks = [mapping.Found(mapping._look(mapping.Mapper([e]), "city", value)) for e in ENTRIES]
+    assert mapping.decide(blocks, "city", value) == mapping.decide([mapping.Mapper(ENTRIES)], "city", value)
+
+
+def test_a_longer_list_goes_in_blocks(spark, monkeypatch):
+    concepts = spark.createDataFrame([(f"C{i}", "city", f"Xóm {a}{b}", None, [f"xom so {i}"]) for i, (a, b) in enumerate(itertools.product("abcdefg", "hiklmn"))], "concept_id string, facet string, label_vi string, label_en string, surface_forms array<string>")
+    values = spark.createDataFrame([(i, "city", "city", 0, v) for i, v in enumerate(["xom ah", "ở Xóm gn", "XOM SO 7", "xom so 41 ", "Xóm ah", "lạ", None, "Làng Xóm bk Cả"])], "id long, facet string, field string, pos int, value string")
+    got = sorted(mapping.map_values(values, concepts).collect())
+    monkeypatch.setattr(mapping, "MOST_FORMS", 20)
+    assert sorted(mapping.map_values(values, concepts).collect()) == got and {r.id: r.concept_id for r in got} == {0: "C0", 1: "C41", 2: "C7", 3: "C41", 5: mapping.NONE, 7: mapping.NONE}
+
+
+def test_without_the_automaton_mentions_are_lost(monkeypatch):
+    monkeypatch.setattr(mapping.Mapper, "hits", lambda *_: [])
+    assert mapping.decide([mapping.Mapper(ENTRIES)], "city", "khách sạn ở Trà Dương") == mapping.NONE
+
+
 # --- 8: encoding
 
 
