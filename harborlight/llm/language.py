@@ -11,7 +11,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,33 +89,35 @@ class Network:
         f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         return cls(f32(256, EMBEDDING, scale=0.6), [f32(w * EMBEDDING, FILTERS, scale=(w * EMBEDDING) ** -0.5) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], f32(FILTERS * len(WIDTHS), len(LANGUAGES), scale=0.1), np.zeros(len(LANGUAGES), np.float32))
 
+    def _responses(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each width's filters at all positions. A filter is a sum over its places, and a place knows 256 bytes: their
+        products are looked up, not computed."""
+        for w, f in zip(WIDTHS, self.filters):
+            n = WINDOW - w + 1
+            a = (self.embedding @ f[:EMBEDDING])[x[:, :n]]
+            for j in range(1, w):
+                a += (self.embedding @ f[j * EMBEDDING : (j + 1) * EMBEDDING])[x[:, j : j + n]]
+            yield a
+
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         """What the softmax sees: the maximum of every filter over the positions."""
-        e = self.embedding[x]
-        out = []
-        for w, f, b in zip(WIDTHS, self.filters, self.bias):
-            p = sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(len(x) * (WINDOW - w + 1), w * EMBEDDING)
-            out.append(np.maximum((p @ f).reshape(len(x), WINDOW - w + 1, FILTERS).max(1) + b, 0))
-        return np.concatenate(out, 1)
-
-    def _pooled(self, x: np.ndarray):
-        e = self.embedding[x]
-        pooled, where, patches = [], [], []
-        for w, f, b in zip(WIDTHS, self.filters, self.bias):
-            p = sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - w + 1, w * EMBEDDING)
-            a = p @ f
+        return np.concatenate([np.maximum(a.max(1) + b, 0) for a, b in zip(self._responses(x), self.bias)], 1)
+
+    def _pooled(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The same, and where each maximum lies."""
+        pooled, where = [], []
+        for a, b in zip(self._responses(x), self.bias):
             at = a.argmax(1)
             pooled.append(np.maximum(np.take_along_axis(a, at[:, None], 1)[:, 0] + b, 0))
             where.append(at)
-            patches.append(p)
-        return np.concatenate(pooled, 1), where, patches
+        return np.concatenate(pooled, 1), where
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def probabilities(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, batch: int = 64) -> np.ndarray:
         return np.concatenate([self._softmax(self._hidden(x[k : k + batch]) @ self.out + self.out_bias) for k in range(0, len(x), batch)]) if len(x) else np.zeros((0, len(LANGUAGES)), np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator, embed: bool = True, batch: int = 128, rate: float = 3e-3) -> None:
@@ -129,7 +130,7 @@ class Network:
             for k in range(0, len(order), batch):
                 rows = order[k : k + batch]
                 bytes_, n = x[rows], len(rows)
-                h, where, patches = self._pooled(bytes_)
+                h, where = self._pooled(bytes_)
                 d = self._softmax(h @ self.out + self.out_bias)
                 d[np.arange(n), y[rows]] -= 1
                 d /= n
@@ -138,7 +139,7 @@ class Network:
                 df, db = [], []
                 for i, w in enumerate(WIDTHS):
                     g = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                    best = patches[i][np.arange(n)[:, None], where[i]]  # (n, FILTERS, width * EMBEDDING)
+                    best = np.concatenate([self.embedding[bytes_[np.arange(n)[:, None], where[i] + j]] for j in range(w)], 2)  # (n, FILTERS, width * EMBEDDING)
                     df.append(np.einsum("nf,nfp->pf", g, best, optimize=True))
                     db.append(g.sum(0))
                     for j in range(w if embed else 0):
@@ -191,27 +192,30 @@ def plausible(sentence: str, label: str) -> bool:
 def train(labelled: Sequence[tuple[str, str]], seed: int = 7) -> Network:
     """A network fitted on (text, label) rows whose labels may be wrong and whose texts may mix languages.
 
-    Sentences whose script speaks against the label are left out; one that comes again has its most frequent label. A first fit finds those that the rest of the sample
-    speaks against; the second leaves them out, too, and takes as many sentences of each language. Vietnamese sentences
-    take part without their marks, too.
+    Sentences whose script speaks against the label are left out; one that comes again has its most frequent label; one labelled
+    vi without any marks counts only where three labels or more agree. A first fit finds those that the rest of the sample speaks against; the second leaves them out, too, unless three labels or more
+    agree on them, and takes as many sentences of each language. Vietnamese sentences take part without their marks, too.
     """
     rng = np.random.default_rng(seed)
     votes: dict[str, Counter[int]] = {}
     for text, label in labelled:
         for s in sentences(text):
-            if len(c := clean(s)) > 8 and plausible(c, label):
+            if len(c := clean(s)) > 8 and (plausible(c, label) or (label == "vi" and c.isascii())):
                 votes.setdefault(c, Counter())[LANGUAGES.index(label)] += 1
-    by: dict[int, list[str]] = {i: [] for i in range(len(LANGUAGES))}
+    by: dict[int, list[tuple[str, bool]]] = {i: [] for i in range(len(LANGUAGES))}
     for c, seen in votes.items():
         (k, n), *rest = seen.most_common(2)
-        if not rest or rest[0][1] < n:
-            by[k] += [c] * min(n, 3)
-    texts, y = [], []
+        agreed = n >= 3 and n >= 0.75 * seen.total()
+        if (not rest or rest[0][1] < n) and (agreed or LANGUAGES[k] != "vi" or not c.isascii()):
+            by[k] += [(c, agreed)] * min(n, 3)
+    texts, y, sure = [], [], []
     for k, own in by.items():
-        own = [own[i] for i in rng.permutation(len(own))[: 3 * TRAIN_SENTENCES]]
-        if LANGUAGES[k] == "vi":
-            own += [plain_vietnamese(t) for t in own[: len(own) // 2]]
-        texts += own
+        vi = LANGUAGES[k] == "vi"
+        own = [own[i] for i in rng.permutation(len(own))[: (2 if vi else 3) * TRAIN_SENTENCES]]
+        if vi:
+            own += [(plain_vietnamese(t), agreed) for t, agreed in own]
+        texts += [t for t, _ in own]
+        sure += [agreed for _, agreed in own]
         y += [k] * len(own)
     y = np.array(y, np.int64)
     net = Network.start(rng)
@@ -219,7 +223,7 @@ def train(labelled: Sequence[tuple[str, str]], seed: int = 7) -> Network:
         return net
     x, owner = windows(texts)
     net.fit(x, y[owner], 3, rng)
-    kept = np.flatnonzero(net.of_label(texts, y) >= 0.35)
+    kept = np.flatnonzero((net.of_label(texts, y) >= 0.35) | np.array(sure))
     if len(kept):
         few = [np.resize(own, max(0, TRAIN_SENTENCES - len(own))) for k in range(len(LANGUAGES)) if len(own := kept[y[kept] == k])]
         kept = np.concatenate([kept, *few])
@@ -230,23 +234,52 @@ def train(labelled: Sequence[tuple[str, str]], seed: int = 7) -> Network:
     return net
 
 
+#: Networks by what they were fitted on, so that queries over one table share a fit; files up to which a table's state is asked for.
+_FITTED: dict[tuple, Network] = {}
+MOST_FITTED, MOST_FILES = 8, 10_000
+
+
+def _state(df: DataFrame) -> tuple | None:
+    """The plan and the files of a table with their sizes and times; None where that doesn't tell its state."""
+    files = df.inputFiles()
+    if not 0 < len(files) <= MOST_FILES:
+        return None
+    spark, out = df.sparkSession, [df.semanticHash()]
+    conf = spark._jsc.hadoopConfiguration()
+    for f in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def fit(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS) -> Network:
-    """Trains on at most ``rows`` labelled rows, those with the smallest hash of their key.
+    """Trains on at most ``rows`` labelled rows, those with the smallest hash of their key; a table that hasn't changed since
+    is not trained on again.
 
     A count gives the bound of the hash below which some more than ``rows`` lie, so that no partition sends more than its
     share of them, however many there are.
     """
+    state = _state(df)
+    if state and (net := _FITTED.get((state, text, label, key, rows))):
+        return net
     code = F.lower(F.regexp_extract(F.col(label), _LABEL, 1))
-    known = df.where(F.col(label).rlike(_LABEL) & code.isin(*LANGUAGES) & F.col(text).rlike(r"(?U)\S"))
-    n = df.where(F.col(label).rlike(_LABEL)).count()
+    usable = F.col(label).rlike(_LABEL) & code.isin(*LANGUAGES)
+    known = df.where(usable & F.col(text).rlike(r"(?U)\S"))
+    n = df.where(usable).count()
     least = -(1 << 63)
     bound = least + int((1 << 64) * min(1.0, 1.5 * rows / max(n, 1))) - 1
     some = known.select(F.col(text).alias("t"), code.alias("c"), F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.col(key).alias("k")).where(F.col("h") <= bound)
-    return train([(r.t, r.c) for r in some.orderBy("h", "k").limit(rows).select("t", "c").collect()])
+    net = train([(r.t, r.c) for r in some.orderBy("h", "k").limit(rows).select("t", "c").collect()])
+    if state:
+        if len(_FITTED) >= MOST_FITTED:
+            _FITTED.clear()
+        _FITTED[(state, text, label, key, rows)] = net
+    return net
 
 
 def segments(langs: Sequence[int], confidence: Sequence[float], least: float = 0.5) -> list[tuple[str, float]]:
-    """Longest runs of sentences in one language; an unsure sentence goes with the one before it (the first, with the next)."""
+    """Longest runs of sentences in one language; an unsure sentence belongs to the run around it and starts none, unless all are unsure."""
     sure = [(k, c) for k, c in zip(langs, confidence) if c >= least] or list(zip(langs, confidence))
     out: list[tuple[int, list[float]]] = []
     for k, c in sure:
@@ -261,15 +294,21 @@ _ARROW = pa.schema([("id", pa.int64()), ("label", pa.string()), ("seg", pa.int32
 _SPARK = "id long, label string, seg int, n_segs int, lang string, confidence double"
 
 
+#: Sentences whose language a task remembers; when there are more, it starts anew.
+REMEMBERED = 200_000
+
+
 def _run(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 2_500):
                 part = batch.slice(start, 2_500)
                 ids, texts, labels = (part.column(i).to_pylist() for i in range(3))
                 cut = [[clean(s) for s in sentences(t)] for t in texts]
-                distinct = list(dict.fromkeys(s for ss in cut for s in ss))
-                known: dict[str, tuple[int, float]] = {}
+                if len(known) > REMEMBERED:
+                    known.clear()
+                distinct = list(dict.fromkeys(s for ss in cut for s in ss if s not in known))
                 for k in range(0, len(distinct), 4_000):
                     some = distinct[k : k + 4_000]
                     known.update(zip(some, zip(*(a.tolist() for a in net.classify(some)))))
