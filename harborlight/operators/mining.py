@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import fold, negated, ngrams, tokens
+from ..functions.text import fold, ngrams, tokens
 from ..functions.values import wilson
 from .relational import first_rows
 
-#: Forms up to which they go with the plan as one literal; more are joined on a token of theirs.
-MOST_FORMS = 4_000
+#: Forms that are sent to the workers at once; more go in blocks, each a pass over the texts of its own.
+MOST_FORMS = 100_000
 
 
 def synonym_index(forms: DataFrame, form: str, concept: str, risky: int = 4) -> DataFrame:
@@ -29,23 +33,56 @@ def synonym_index(forms: DataFrame, form: str, concept: str, risky: int = 4) ->
     return each.groupBy("form").agg(F.array_sort(F.collect_set("c")).alias("concept_ids"))
 
 
-def find_forms(docs: DataFrame, key: str, text: str, forms: DataFrame, form: str, concept: str, cues: Sequence[str] = ()) -> DataFrame:
-    """(key, concept, form, negated) of every form that a lower-case text contains.
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
-    Up to MOST_FORMS forms are one literal that each text is searched for, without a shuffle; more meet the texts that have
-    their longest word by an equi-join. ``negated`` tells whether a cue stands within three words before the first place.
+
+def _find(rows: Sequence[tuple[str, str]], cues: Sequence[str], window: int, schema: pa.Schema):
+    """One pass of an automaton over each text; a form's first place decides whether it is negated."""
+    concepts: dict[str, list[str]] = {}
+    for form, concept in rows:
+        concepts.setdefault(form, []).append(concept)
+    cue_set = frozenset(cues)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = ahocorasick.Automaton()
+        for form in concepts:
+            auto.add_word(form, form)
+        auto.make_automaton()
+        for batch in batches:
+            out: list[tuple] = []
+            for key, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                first: dict[str, int] = {}
+                for end, form in auto.iter(low):
+                    if form not in first:
+                        first[form] = end - len(form) + 1
+                for form, at in first.items():
+                    before = [w for w in _SPACE.split(low[:at]) if w][-window:] if cue_set else ()
+                    out += [(key, c, form, not cue_set.isdisjoint(before)) for c in concepts[form]]
+            columns = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def find_forms(docs: DataFrame, key: str, text: str, forms: DataFrame, form: str, concept: str, cues: Sequence[str] = (), window: int = 3) -> DataFrame:
+    """(key, concept, form, negated) of every form of three characters or more that a lower-case text contains, anywhere in it.
+
+    An automaton over the forms reads each text once, without a shuffle; more than MOST_FORMS forms go in blocks, with the
+    same result. ``negated`` tells whether a cue stands within ``window`` words before the first place. Null texts and forms
+    give nothing.
     """
-    known = forms.where(F.char_length(form) >= 3).select(F.lower(form).alias("form"), F.col(concept).alias("concept")).distinct()
-    some = known.limit(MOST_FORMS + 1).collect()
+    known = forms.where((F.char_length(form) >= 3) & F.col(concept).isNotNull()).select(F.lower(form).alias("form"), F.col(concept).cast("string").alias("concept")).distinct()
     low = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.lower(text).alias("low"))
-    if len(some) <= MOST_FORMS:
-        table = F.array(*(F.struct(F.lit(r.form).alias("form"), F.lit(r.concept).alias("concept")) for r in sorted(some))) if some else F.array().cast("array<struct<form:string,concept:string>>")
-        hits = low.select(key, "low", F.explode(F.filter(table, lambda f: F.col("low").contains(f["form"]))).alias("f")).select(key, "low", "f.form", "f.concept")
-    else:
-        word = known.withColumn("word", F.element_at(F.array_sort(F.transform(tokens(F.col("form")), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 1)["w"])
-        hits = low.select(key, "low", F.explode(F.array_distinct(tokens(F.col("low")))).alias("word")).join(word, "word").where(F.col("low").contains(F.col("form"))).drop("word")
-    flag = negated(F.col("low"), F.col("form"), list(cues)) if cues else F.lit(False)
-    return hits.select(key, "concept", "form", flag.alias("negated"))
+    kind = low.schema[key].dataType
+    schema = pa.schema([(key, to_arrow_type(kind)), ("concept", pa.string()), ("form", pa.string()), ("negated", pa.bool_())])
+    ddl = f"`{key}` {kind.simpleString()}, concept string, form string, negated boolean"
+    blocks = max(1, -(-known.count() // MOST_FORMS))
+    parts = []
+    for k in range(blocks):
+        rows = [(r.form, r.concept) for r in known.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k).collect()]
+        if rows:
+            parts.append(low.mapInArrow(_find(sorted(rows), cues, window, schema), ddl))
+    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], ddl)
 
 
 def fuse_tags(tags: DataFrame, key: str, bonus: float = 0.05) -> DataFrame:
@@ -105,34 +142,62 @@ def concept_search(objects: DataFrame, key: str, concepts: str, scores: str, har
     return first_rows(out, ["_q"], [F.col("n_soft").desc(), F.col("feel").desc(), F.col("rating").desc_nulls_last(), F.col(key)], size).select(key, "n_soft", "feel", "rating", "rank")
 
 
-def _greedy(forms: dict[str, str], schema: pa.Schema):
-    longest = max((len(f.split()) for f in forms), default=0)
-
+def pick_forms(words: Sequence[str], found: Iterable[tuple[str, int]]) -> list[str]:
+    """The forms that a text is read as, of those found at a place: the most words first, then the most characters; each takes
+    its first free place, and a word that a form has taken is used up."""
+    places: dict[str, list[int]] = {}
+    for form, at in found:
+        places.setdefault(form, []).append(at)
+    free, out = [True] * len(words), []
+    for form in sorted(places, key=lambda f: (-f.count(" "), -len(f), f)):
+        n = form.count(" ") + 1
+        for at in sorted(places[form]):
+            if all(free[at : at + n]):
+                free[at : at + n] = [False] * n
+                out.append(form)
+                break
+    return out
+
+
+def _greedy(forms: dict[str, list[str]] | None, longest: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found, used = [], [], []
-            for key, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                free, seen = [True] * len(words), set()
-                for n in range(min(longest, len(words)), 0, -1):
-                    for i in range(len(words) - n + 1):
-                        form = " ".join(words[i : i + n])
-                        if form in forms and form not in seen and all(free[i : i + n]):
-                            free[i : i + n] = [False] * n
-                            seen.add(form)
-                            keys.append(key)
-                            found.append(forms[form])
-                            used.append(form)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, schema.field(0).type), pa.array(found, pa.string()), pa.array(used, pa.string())], schema=schema)
+            out: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for key, words, *given in zip(*columns):
+                if forms is not None:
+                    here = forms
+                    found = [(g, i) for n in range(1, min(longest, len(words)) + 1) for i in range(len(words) - n + 1) if (g := " ".join(words[i : i + n])) in forms]
+                else:
+                    here = {x["form"]: x["concepts"] for x in given[0]}
+                    found = [(x["form"], x["at"]) for x in given[0]]
+                out += [(key, c, form) for form in pick_forms(words, found) for c in here[form]]
+            rows = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(rows, schema)], schema=schema)
 
     return run
 
 
 def greedy_concepts(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """(key, concept, form): the longest forms first; a word that a form has used can't be used again, and each form takes
-    one place. The fold over used words depends on its order, so it runs in Arrow batches, beside a bounded dictionary."""
-    rows = dictionary.where(F.size("concept_ids") == 1).select("form", F.col("concept_ids")[0].alias("c")).limit(MOST_FORMS * 10 + 1).collect()
-    if len(rows) > MOST_FORMS * 10:
-        raise ValueError(f"the dictionary has more than {MOST_FORMS * 10} forms")
+    """(key, concept, form): the forms with the most words first, then with the most characters; a word that a form has used
+    can't be used again, and each form takes one place and gives all concepts it names.
+
+    The fold over used words depends on its order, so it runs in Arrow batches, beside the dictionary where it has
+    MOST_FORMS forms or fewer; a larger one is joined on the n-grams of the texts, with the same result.
+    """
+    known = dictionary.where(F.col("form").isNotNull() & (F.size("concept_ids") > 0)).select("form", "concept_ids")
+    n, longest = known.agg(F.count("*"), F.max(F.size(F.split("form", " ")))).first()
     schema = pa.schema([("key", pa.int64()), ("concept", pa.string()), ("form", pa.string())])
-    out = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), tokens(F.col(text), True)).mapInArrow(_greedy({r.form: r.c for r in rows}, schema), "key long, concept string, form string")
+    words = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), tokens(F.col(text), True).alias("words"))
+    if n <= MOST_FORMS:
+        out = words.mapInArrow(_greedy({r.form: sorted(r.concept_ids) for r in known.collect()}, longest or 0, schema), "key long, concept string, form string")
+    else:
+        def grams(k: int) -> Column:
+            at = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.struct(F.array_join(F.slice("words", i + 1, F.lit(k)), " ").alias("form"), i.alias("at")))
+            return F.when(F.size("words") >= k, at).otherwise(F.array().cast("array<struct<form:string,at:int>>"))
+
+        rows = words.withColumn("row", F.xxhash64("words"))
+        met = rows.select("key", "row", F.explode(F.concat(*map(grams, range(1, longest + 1)))).alias("g")).select("key", "row", "g.*").distinct().join(known, "form")
+        lists = met.groupBy("key", "row").agg(F.collect_list(F.struct("form", "at", F.array_sort("concept_ids").alias("concepts"))).alias("given"))
+        out = rows.join(lists, ["key", "row"]).select("key", "words", "given").mapInArrow(_greedy(None, 0, schema), "key long, concept string, form string")
     return out.withColumnRenamed("key", key)
