@@ -46,7 +46,7 @@ def sentences(text: Column, newlines: bool = False) -> Column:
 def clean_space(text: Column) -> Column:
     """No byte-order mark, spaces and tabs collapsed, at most one blank line in a row, trimmed."""
     x = F.regexp_replace(F.regexp_replace(text, r"\x{FEFF}", ""), r"\r\n?", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def join_non_empty(sep: str, *parts: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import relational as R
+from ..operators import shred
 from ..streaming import metrics as M
 from ..tables import table
 from . import chunking, search
@@ -417,7 +418,14 @@ def hotel_document_parts(spark, d):
     return every.groupBy("hotel_id", "part").agg(*lists).select("hotel_id", "part", "hotel", *(F.coalesce(c, F.array()).alias(c) for c in ("rooms", "nearby_places", "activities")))
 
 
-@query()
+#: Sentences of a text packed up to 1,000 characters, in SQL.
+_PACKED = r"""(SELECT {key}, CASE WHEN length(t) <= 1000 THEN [t] ELSE list_filter(list_append(f.done, f.buf), lambda c: c <> '') END AS chunks FROM (
+SELECT {key}, t, list_reduce(list_transform(string_split(regexp_replace(t, '([.!?…]) +', '\1' || chr(1), 'g'), chr(1)), lambda x: {{'done': []::VARCHAR[], 'buf': trim(x, ' ')}}),
+ lambda a, x: CASE WHEN x.buf = '' THEN a WHEN a.buf <> '' AND length(a.buf) + length(x.buf) + 1 > 1000 THEN {{'done': list_append(a.done, a.buf), 'buf': x.buf}} WHEN a.buf = '' THEN x ELSE {{'done': a.done, 'buf': a.buf || ' ' || x.buf}} END) AS f
+FROM (SELECT {key}, trim(regexp_replace({text}, '[ \t\n\r\f\x{{0b}}]+', ' ', 'g'), ' ') AS t FROM {source}) WHERE t <> ''))"""
+
+
+@query(f"SELECT doc_id, CAST(unnest(generate_series(0, len(chunks) - 1)) AS INTEGER) AS seq, unnest(chunks) AS chunk FROM {_PACKED.format(key='doc_id', text='text', source='documents')}")
 def sentence_chunks(spark, d):
     """Documents packed by characters."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.pack_characters(F.col("text"))).alias("seq", "chunk"))
@@ -432,10 +440,43 @@ def overlap_chunks(spark, d):
 
 @query()
 def hotel_chunks(spark, d):
-    """Retrieval chunks of hotels, but FAQ, reviews and useful_info."""
+    """Retrieval chunks of hotels, of all eight kinds."""
     return chunking.hotel_chunks(*(table(spark, d, t) for t in ("hotels", "rooms", "nearby_places", "activities")))
 
 
+_ROOM_TEXT = "concat_ws('. ', nullif(trim(name, ' '), ''), 'diện tích ' || nullif(trim(room_size, ' '), ''), 'giường ' || nullif(trim(bed_type, ' '), ''), 'hướng ' || nullif(trim(room_view, ' '), ''), 'tối đa ' || max_occupancy || ' khách', 'tiện nghi phòng: ' || nullif(array_to_string(list_filter(list_transform(room_amenities, lambda x: trim(x, ' ')), lambda x: x <> ''), ', '), ''))"
+
+
+@query(f"""WITH h AS {H}, r AS {RM}, n AS (SELECT DISTINCT id, hotel_id, name, type, distance_km FROM nearby_places WHERE id IS NOT NULL), a AS (SELECT DISTINCT id, hotel_id, title, description FROM activities WHERE id IS NOT NULL),
+p AS (SELECT id, list_filter(list_transform(policy_notes, lambda x: trim(x, ' ')), lambda x: x <> '') AS notes FROM h),
+c AS (SELECT id AS hotel_id, 'hotel_description' AS kind, 'desc' AS code, NULL AS record, unnest(generate_series(1, len(chunks))) AS seq, unnest(chunks) AS text FROM {_PACKED.format(key='id', text='description', source='h')}
+UNION ALL SELECT id, 'amenity', 'amen', NULL, 1, 'Tiện nghi: ' || array_to_string(list_filter(list_transform(amenities, lambda x: trim(x, ' ')), lambda x: x <> ''), ', ') FROM (SELECT id, list_reduce(list_transform(amenities, lambda x: [x]), lambda a, x: CASE WHEN list_contains(list_transform(a, lambda y: trim(y, ' ')), trim(x[1], ' ')) THEN a ELSE list_concat(a, x) END) AS amenities FROM h WHERE len(amenities) > 0) WHERE len(list_filter(amenities, lambda x: trim(x, ' ') <> '')) > 0
+UNION ALL SELECT id, 'policy', 'policy', NULL, unnest(generate_series(1, len(notes))), unnest(notes) FROM p
+UNION ALL SELECT hotel_id, 'room_info', 'room', id, 1, {_ROOM_TEXT} FROM r WHERE hotel_id IS NOT NULL
+UNION ALL SELECT hotel_id, 'nearby', 'near', id, 1, trim(coalesce(name, '') || coalesce(' (' || type || ')', '') || coalesce(' — cách ' || distance_km || ' km', ''), ' ') FROM n WHERE hotel_id IS NOT NULL
+UNION ALL SELECT hotel_id, 'activity', 'act', id, 1, concat_ws('. ', nullif(trim(title, ' '), ''), nullif(trim(description, ' '), '')) FROM a WHERE hotel_id IS NOT NULL)
+SELECT concat_ws('-', 'chunk', c.hotel_id, code, record, printf('%03d', seq)) AS chunk_id, c.hotel_id, kind AS source_type, CAST(record AS BIGINT) AS record_id, CAST(seq AS INTEGER) AS seq, text,
+CASE WHEN code = 'none' THEN '' ELSE concat_ws(' — ', nullif(trim(h.name, ' '), ''), CASE code WHEN 'desc' THEN 'Mô tả' WHEN 'amen' THEN 'Tiện nghi' WHEN 'policy' THEN 'Chính sách' WHEN 'room' THEN 'Phòng' WHEN 'near' THEN 'Địa điểm lân cận' ELSE 'Hoạt động' END) || '. ' || text END AS embed_text
+FROM c JOIN h ON h.id = c.hotel_id WHERE text <> ''""")
+def flat_chunks(spark, d):
+    """Those of ``hotel_chunks`` that come from flat fields: all but questions, reviews and useful information."""
+    return hotel_chunks(spark, d).where("source_type not in ('faq', 'review') and embed_text not like '%Thông tin hữu ích. %'")
+
+
+@query()
+def review_chunks(spark, d):
+    """All sample reviews of hotels, one chunk per wording and hotel."""
+    h = hotels_once(spark, d, "reviews_detail")
+    said = shred.entity_table(shred.adjacency(h, "id", ["reviews_detail"]), r"sample_comments\[\d+\]$", ["title", "text", "positives", "negatives"])
+    return chunking.review_chunks(said.withColumnRenamed("id", "hotel_id"), "hotel_id", "path")
+
+
+@query()
+def cms_chunks(spark, d):
+    """Documents taken for pages, by sections, packed by words."""
+    return chunking.cms_chunks(table(spark, d, "documents").where("source = 'cms'").select("doc_id", "source_type", "text"), "doc_id", "source_type", "text", 120, 30)
+
+
 @query("""WITH t AS (SELECT doc_id, trim(text) AS text FROM documents WHERE length(trim(text)) >= 20)
 SELECT left(sha1(lower(text)), 16) AS chunk_id, min(doc_id) AS doc_id, arg_min(text, doc_id) AS text FROM t GROUP BY 1""")
 def atomic_chunks(spark, d):
