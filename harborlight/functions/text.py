@@ -10,8 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters with marks that have a plain letter of the Latin script below them, by rule from the character database.
-_MARKED = [(c, b) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if (b := unicodedata.normalize("NFD", c)[0]) != c and b.isascii()]
+def _bare(c: str) -> str | None:
+    """What is left of a composed letter without its marks; None if it has none."""
+    parts = unicodedata.normalize("NFD", c)
+    return parts[0] if len(parts) > 1 and all(unicodedata.category(m) == "Mn" for m in parts[1:]) else None
+
+
+#: Letters with marks and the letters below them, of all scripts, by rule from the character database.
+_MARKED = [(c, b) for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x10000)]) if (b := _bare(c)) is not None]
 
 
 @F.pandas_udf(T.StringType())
@@ -23,7 +29,7 @@ def composed(s: pd.Series) -> pd.Series:
 def fold(text: Column, keep_d: bool = True) -> Column:
     """Lower case without marks; the letter đ is kept, or is d where ``keep_d`` is off."""
     low = F.lower(text)
-    plain = F.regexp_replace(F.translate(low, "".join(c for c, _ in _MARKED), "".join(b.lower() for _, b in _MARKED)), r"\p{Mn}+", "")
+    plain = F.regexp_replace(F.translate(low, "".join(c for c, _ in _MARKED), "".join(b for _, b in _MARKED)), r"\p{Mn}+", "")
     return plain if keep_d else F.translate(plain, "đ", "d")
 
 

@@ -102,4 +102,4 @@ def _counts(buckets: pd.Series, size: pd.Series) -> pd.Series:
 
 def hashed(words: Column, size: int = 256) -> Column:
     """How many of the words fall into each of ``size`` buckets by their hash; a stand-in for an embedding."""
-    return _counts(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int")), F.lit(size))
+    return _counts(F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")), F.lit(size))

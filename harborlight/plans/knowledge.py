@@ -102,22 +102,13 @@ def expansion_once(spark, d):
     return K.expand_once(sets, "id", "concept", edges)
 
 
-@query(f"""WITH c AS (SELECT city, count(*) AS n FROM {H} WHERE city IS NOT NULL AND trim(city) <> '' AND regexp_matches(city, '^[\\p{{L}}\\p{{N}} .,()/-]+$') GROUP BY 1),
-s AS (SELECT city, n, trim(regexp_replace(upper(replace(strip_accents(lower(city)), 'đ', 'd')), '[^A-Z0-9]+', '_', 'g'), '_') AS slug FROM c)
-SELECT city, n, CASE WHEN k = 1 THEN slug ELSE slug || '_' || k END AS place_id FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY n DESC, city) AS k FROM s)""")
+@query(f"""WITH c AS (SELECT nfc_normalize(city) AS city, count(*) AS n FROM {H} WHERE trim(city, ' ') <> '' GROUP BY 1),
+s AS (SELECT city, n, coalesce(nullif(trim(regexp_replace(upper(replace(strip_accents(lower(city)), 'đ', 'd')), '[^A-Z0-9]+', '_', 'g'), '_'), ''), 'PLACE') AS slug FROM c)
+SELECT city, CAST(n AS BIGINT) AS n, CASE WHEN k = 1 THEN slug ELSE slug || '_' || k END AS place_id FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY n DESC, city) AS k FROM s)""")
 def location_ids(spark, d):
-    """Ids of cities as written: slugs, numbered by frequency where several share one. Only cities of letters in composed form,
-    digits and plain punctuation, as in the SQL; ``place_ids`` has all."""
-    c = hotels_once(spark, d, "city").where(F.col("city").isNotNull() & (F.trim("city") != "") & F.col("city").rlike(r"^[\p{L}\p{N} .,()/-]+$")).groupBy("city").agg(F.count("*").alias("n"))
-    s = R.first_rows(c.withColumn("slug", X.slug(F.col("city"))), ["slug"], [F.col("n").desc(), F.col("city")], 1 << 30)
-    return s.select("city", "n", F.when(F.col("rank") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", F.col("rank").cast("string"))).alias("place_id"))
-
-
-@query()
-def place_ids(spark, d):
     """Ids of all cities that aren't blank: spellings that are canonically equal count as one, whatever signs they have; slugs
     are numbered by frequency, and a city without a Latin letter or digit has the slug PLACE."""
-    c = hotels_once(spark, d, "city").where(F.col("city").isNotNull() & (F.trim("city") != "")).groupBy("city").agg(F.count("*").alias("n"))
+    c = hotels_once(spark, d, "city").where(F.trim("city") != "").groupBy("city").agg(F.count("*").alias("n"))
     c = c.groupBy(X.composed("city").alias("city")).agg(F.sum("n").alias("n"))
     slug = F.coalesce(F.nullif(X.slug(F.col("city")), F.lit("")), F.lit("PLACE"))
     s = R.first_rows(c.withColumn("slug", slug), ["slug"], [F.col("n").desc(), F.col("city")], 1 << 30)
@@ -303,23 +294,13 @@ def keyword_pool(spark, d):
     return R.first_rows(_themes(spark, d), ["theme"], [F.col("hits").desc(), F.col("review_score").desc_nulls_last(), F.col("id")], 15).select("theme", "id", "hits", "rank")
 
 
-@query(f"""WITH h AS {H}, c AS (SELECT id, city FROM h WHERE city IS NOT NULL AND regexp_matches(city, '^[\\p{{L}}\\p{{N}} .,()/-]+$'))
-SELECT id, CASE WHEN regexp_matches(city, '^.*[(][^)]*[)] *$') THEN trim(regexp_extract(city, '^(.*?) *[(]([^)]*)[)] *$', 1)) WHEN contains(city, '/') AND trim(regexp_extract(city, '^(.*?) */ *(.*)$', 2)) <> '' THEN trim(regexp_extract(city, '^(.*?) */ *(.*)$', 1)) ELSE trim(city) END AS name,
+@query(f"""WITH h AS {H}, c AS (SELECT id, nfc_normalize(city) AS city FROM h WHERE city IS NOT NULL)
+SELECT id, CASE WHEN regexp_matches(city, '^.*[(][^)]*[)] *$') THEN trim(regexp_extract(city, '^(.*?) *[(]([^)]*)[)] *$', 1), ' ') WHEN contains(city, '/') AND trim(regexp_extract(city, '^(.*?) */ *(.*)$', 2), ' ') <> '' THEN trim(regexp_extract(city, '^(.*?) */ *(.*)$', 1), ' ') ELSE trim(city, ' ') END AS name,
  length(city) AS n, left(sha1(city), 16) AS digest, left(sha256(concat_ws('|', 'p', city)), 32) AS cache_key, split_part('GS-' || replace(city, '-', ''), '-', 2) AS part, replace(city, 'Thành phố ', 'TP ') AS repaired FROM c""")
 def text_toolbox(spark, d):
-    """Qualifiers split off, hashes, parts and repairs of cities as typed, of those that ``location_ids`` takes; ``city_texts``
-    has all."""
-    return _city_texts(hotels_once(spark, d, "city").where(F.col("city").isNotNull() & F.col("city").rlike(r"^[\p{L}\p{N} .,()/-]+$")))
-
-
-@query()
-def city_texts(spark, d):
-    """What ``text_toolbox`` gives, of every city, in composed form."""
-    return _city_texts(hotels_once(spark, d, "city").where("city is not null").withColumn("city", X.composed("city")))
-
-
-def _city_texts(c: DataFrame) -> DataFrame:
+    """Qualifiers split off, hashes, parts and repairs of every city as typed, in composed form."""
     city = F.col("city")
+    c = hotels_once(spark, d, "city").where("city is not null").withColumn("city", X.composed("city"))
     return c.select("id", X.split_qualifier(city)["name"].alias("name"), F.char_length(city).cast("long").alias("n"), X.short_hash(city).alias("digest"), X.cache_key(F.lit("p"), city).alias("cache_key"), F.split_part(F.concat(F.lit("GS-"), F.replace(city, F.lit("-"), F.lit(""))), F.lit("-"), F.lit(2)).alias("part"), X.repair(city, {"Thành phố ": "TP "}).alias("repaired"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import approximate_tokens, tokens
 from ..operators.relational import first_rows, first_wins, restrict, within_budget
+from ..tables import table_state, write_shared
 
 MODES = ("full_hybrid", "bm25_only", "vector_only", "hybrid_no_rerank")
 #: Query vectors that one pass over the corpus compares; more go in further passes.
@@ -25,17 +27,47 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return index, words.select(key, F.size("terms").alias("n_terms"))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, size: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """An inverted index as tables: (term, key, tf) in term order, (key, n_terms), (term, df), and one row of statistics."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
+    stats: DataFrame
+
+
+_BUILT: dict[tuple, Index] = {}
+
+
+def build_index(docs: DataFrame, key: str, text: str) -> Index:
+    """The index of a table's texts, written to the shared folder once for each state of the table.
+
+    Postings lie in term order, so a reader of some terms skips the row groups of the others. Texts are tokenised once;
+    terms, keys and counts are all that is shuffled.
+    """
+    state = table_state(docs)
+    if state and (state, key, text) in _BUILT:
+        return _BUILT[(state, key, text)]
+    index, lengths = postings(docs, key, text)
+    lengths = write_shared(lengths, "lengths")
+    index = write_shared(index.repartitionByRange("term", key).sortWithinPartitions("term"), "postings")
+    frequencies = write_shared(index.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    out = Index(index, lengths, frequencies, lengths.agg(F.count("*").alias("n_docs"), F.avg("n_terms").alias("avg_terms")))
+    if state:
+        _BUILT[(state, key, text)] = out
+    return out
+
+
+def bm25(index: Index, key: str, queries: DataFrame, query_key: str, query_text: str, size: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_key, key, score, rank): the ``size`` best documents of each query by BM25 over its distinct terms.
 
     Statistics cover all documents; the allowed keys restrict scoring, not the statistics. Terms of the queries reach the
     index by an equi-join before anything is scored. Ties go by key.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    rows = restrict(hit, allowed, key).join(lengths, key).join(df, "term").join(F.broadcast(stats))
+    terms = index.frequencies.join(asked.select("term").distinct(), "term", "left_semi")
+    rows = restrict(index.postings.join(terms, "term"), allowed, key).join(index.lengths, key).join(F.broadcast(index.stats))
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms")))
     scored = rows.select("term", key, part.alias("part")).join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
@@ -78,7 +110,8 @@ def vector_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
     """(query_key, key, score, rank): the ``size`` nearest vectors of each query by cosine, exactly.
 
     Queries go to the corpus in blocks of QUERY_BLOCK, each one matrix product a batch and at most ``size`` rows a query and
-    task; so what the driver holds is one block, whatever their number. Null vectors and those of another length have no
+    task. Of several blocks, each runs and is written before the next is read, so the driver holds one, whatever their
+    number. Null vectors and those of another length have no
     rows; the zero vector has score 0. Ties go by key.
     """
     corpus = restrict(vectors.where(F.col(key).isNotNull()), allowed, key).select(F.col(key).cast("long"), vector)
@@ -90,7 +123,8 @@ def vector_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
         if own:
             m = np.array([r.v for r in own], float)
             norm = np.linalg.norm(m, axis=1, keepdims=True)
-            parts.append(corpus.mapInArrow(_best(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), [r.q for r in own], size, without_self), "query long, key long, score double"))
+            found = corpus.mapInArrow(_best(np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), [r.q for r in own], size, without_self), "query long, key long, score double")
+            parts.append(write_shared(found, "nearest") if blocks > 1 else found)
     if not parts:
         parts = [corpus.select(F.col(key).alias("query"), F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)]
     found = reduce(DataFrame.unionAll, parts).select(F.col("query").alias(query_key), F.col("key").alias(key), F.col("score"))

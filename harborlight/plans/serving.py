@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -154,11 +155,9 @@ SELECT concept_id, doc_id, score, CAST(row_number() OVER (PARTITION BY concept_i
 QUALIFY row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, doc_id) <= 10"""
 
 
-def _lexical(spark, d, size: int) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    index, lengths = search.postings(docs, "doc_id", "text")
-    asked = table(spark, d, "concepts").where("facet = 'amenity'")
-    return search.bm25(index, lengths, "doc_id", asked, "concept_id", "label_vi", size)
+def _lexical(spark, d, size: int, allowed: DataFrame | None = None) -> DataFrame:
+    index = search.build_index(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return search.bm25(index, "doc_id", table(spark, d, "concepts").where("facet = 'amenity'"), "concept_id", "label_vi", size, allowed)
 
 
 @query(_BM25)
@@ -214,27 +213,81 @@ def hybrid_modes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _near_texts(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
-    """The documents nearest to each label by hashed vectors of folded words, which stand in for a model's; unlike BM25 they
-    find a word whatever its marks."""
-    numbers = asked.select("concept_id", F.xxhash64("concept_id").alias("query"), V.hashed(X.tokens(F.col("label_vi"), True)).alias("v"))
-    some = docs.where("text is not null").select("doc_id", V.hashed(X.tokens(F.col("text"), True)).alias("v"))
+def embed(text: Column) -> Column:
+    """The embedding of a text: counts of its folded words in 256 buckets, which stand in for a model. Another embedder is a
+    function of a text column to an array column, such as a pandas UDF around a model."""
+    return V.hashed(X.tokens(text, True))
+
+
+def _near_texts(docs: DataFrame, asked: DataFrame, size: int, allowed: DataFrame | None = None, embedder: Callable[[Column], Column] = embed) -> DataFrame:
+    """The documents nearest to each label; unlike BM25 the stand-in finds a word whatever its marks."""
+    numbers = asked.select("concept_id", F.xxhash64("concept_id").alias("query"), embedder(F.col("label_vi")).alias("v"))
+    some = R.restrict(docs.where("text is not null"), allowed, "doc_id").select("doc_id", embedder(F.col("text")).alias("v"))
     found = search.vector_search(some, "doc_id", "v", numbers, "query", "v", size).where("score > 0")
     return found.join(numbers.select("concept_id", "query"), "query").select("concept_id", "doc_id", "score", "rank")
 
 
-@query()
-def full_hybrid_search(spark, d):
-    """BM25 fused with the vector search, reranking by a pluggable scorer, here term overlap, with roll-up to hotels."""
+def _modes(spark, d, modes, allowed: DataFrame | None) -> DataFrame:
+    """(mode, concept_id, hotel_id, score, doc_id, rank): the hotels of each label by their best document in each mode; the
+    allowed documents restrict both arms before anything is ranked."""
     docs = table(spark, d, "documents").select("doc_id", "hotel_id", "text")
     asked = table(spark, d, "concepts").where("facet = 'amenity'").select("concept_id", "label_vi")
-    lex, vec = _lexical(spark, d, 50), _near_texts(docs, asked, 50)
+    lex, vec = _lexical(spark, d, 50, allowed), _near_texts(docs, asked, 50, allowed)
 
     def score(found: DataFrame) -> DataFrame:
-        return found.join(docs, "doc_id").join(asked, "concept_id").withColumn("score", search.lexical_overlap(F.col("label_vi"), F.col("text"))).drop("text", "label_vi", "hotel_id")
-
-    ranked = search.hybrid("full_hybrid", lex, vec, "concept_id", "doc_id", score)
-    return search.roll_up(ranked.join(docs.select("doc_id", "hotel_id"), "doc_id").where("hotel_id is not null"), "concept_id", "hotel_id", "doc_id", 10)
+        return found.join(docs, "doc_id").join(asked, "concept_id").withColumn("score", F.round(search.lexical_overlap(F.col("label_vi"), F.col("text")), 6)).drop("text", "label_vi", "hotel_id")
+
+    out = []
+    for mode in modes:
+        ranked = search.hybrid(mode, lex, vec, "concept_id", "doc_id", score)
+        rolled = search.roll_up(ranked.join(docs.select("doc_id", "hotel_id"), "doc_id").where("hotel_id is not null"), "concept_id", "hotel_id", "doc_id", 10)
+        out.append(rolled.select(F.lit(mode).alias("mode"), *rolled.columns))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _allowed(spark, d) -> DataFrame:
+    """The documents of the hotels that a request's filters leave, here four stars or more and a score of 7 or more."""
+    where = R.condition(ranges={"star_rating": R.Range(4), "review_score": R.Range(7)})
+    keys = R.whitelist(hotels_once(spark, d, "star_rating", "review_score"), "id", where)
+    return table(spark, d, "documents").select("doc_id", "hotel_id").join(keys.withColumnRenamed("id", "hotel_id"), "hotel_id", "left_semi").select("doc_id")
+
+
+def _modes_sql(allowed: str) -> str:
+    """All four modes in SQL; ``allowed`` is a condition on documents."""
+    bucket = "CAST('0x' || left(md5(t), 8) AS BIGINT) % 256"
+    folded = "regexp_extract_all(replace(strip_accents(lower({0})), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+')"
+    plain = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""WITH h AS {H}, ok AS (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND {allowed}),
+q AS (SELECT concept_id, label_vi FROM concepts WHERE facet = 'amenity'),
+w AS (SELECT doc_id, hotel_id, text, {plain.format('text')} AS t FROM documents WHERE text IS NOT NULL), w2 AS (SELECT *, len(t) AS dl FROM w WHERE len(t) > 0),
+st AS (SELECT count(*) AS nd, avg(dl) AS av FROM w2), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM w2) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+qt AS (SELECT DISTINCT concept_id, term FROM (SELECT concept_id, unnest({plain.format('label_vi')}) AS term FROM q)),
+bs AS (SELECT qt.concept_id, p.doc_id, round(sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / av))), 6) AS score FROM qt JOIN p USING (term) JOIN df USING (term) JOIN w2 ON w2.doc_id = p.doc_id JOIN ok ON ok.doc_id = p.doc_id, st GROUP BY 1, 2),
+b AS (SELECT concept_id, doc_id, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, doc_id) AS rank FROM bs QUALIFY rank <= 50),
+dv AS (SELECT doc_id, {bucket} AS k, count(*) AS c FROM (SELECT doc_id, unnest({folded.format('text')}) AS t FROM w JOIN ok USING (doc_id)) GROUP BY 1, 2), dn AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM dv GROUP BY 1),
+qv AS (SELECT concept_id, {bucket} AS k, count(*) AS c FROM (SELECT concept_id, unnest({folded.format('label_vi')}) AS t FROM q) GROUP BY 1, 2), qn AS (SELECT concept_id, sqrt(sum(c * c)) AS n FROM qv GROUP BY 1),
+vs AS (SELECT qv.concept_id, dv.doc_id, round(sum((qv.c / qn.n) * (dv.c / dn.n)), 6) AS score FROM qv JOIN dv USING (k) JOIN qn ON qn.concept_id = qv.concept_id JOIN dn ON dn.doc_id = dv.doc_id GROUP BY 1, 2),
+v AS (SELECT concept_id, doc_id, row_number() OVER (PARTITION BY concept_id ORDER BY score DESC, doc_id) AS rank FROM vs WHERE score > 0 QUALIFY rank <= 50),
+f AS (SELECT concept_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf, min(CASE WHEN o = 0 THEN rank END) AS r0, min(CASE WHEN o = 1 THEN rank END) AS r1 FROM (SELECT *, 0 AS o FROM b UNION ALL SELECT *, 1 FROM v) GROUP BY 1, 2),
+c AS (SELECT 'fused' AS arm, concept_id, doc_id, row_number() OVER (PARTITION BY concept_id ORDER BY rrf DESC, r0 NULLS LAST, r1 NULLS LAST, doc_id) AS place FROM f QUALIFY place <= 15
+ UNION ALL SELECT 'bm25_only', concept_id, doc_id, rank FROM b WHERE rank <= 15 UNION ALL SELECT 'vector_only', concept_id, doc_id, rank FROM v WHERE rank <= 15),
+s AS (SELECT CASE arm WHEN 'fused' THEN 'full_hybrid' ELSE arm END AS mode, concept_id, doc_id, round(len(list_intersect(list_distinct({plain.format('label_vi')}), list_distinct({plain.format('text')}))) / len(list_distinct({plain.format('label_vi')})), 6) AS score FROM c JOIN q USING (concept_id) JOIN w USING (doc_id)
+ UNION ALL SELECT 'hybrid_no_rerank', concept_id, doc_id, CAST(count(*) OVER (PARTITION BY concept_id) - place + 1 AS DOUBLE) FROM c WHERE arm = 'fused'),
+j AS (SELECT mode, concept_id, hotel_id, doc_id, score FROM s JOIN documents USING (doc_id) WHERE hotel_id IS NOT NULL),
+o AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY mode, concept_id, hotel_id ORDER BY score DESC, doc_id) = 1)
+SELECT mode, concept_id, hotel_id, score, doc_id, CAST(row_number() OVER (PARTITION BY mode, concept_id ORDER BY score DESC, hotel_id) AS INTEGER) AS rank FROM o QUALIFY rank <= 10"""
+
+
+@query(_modes_sql("hotel_id IN (SELECT id FROM h WHERE star_rating >= 4 AND review_score >= 7)"))
+def search_modes(spark, d):
+    """Filtered search in all four modes: BM25 and vectors over the filtered documents, fused, reranked, rolled up to hotels."""
+    return _modes(spark, d, search.MODES, _allowed(spark, d))
+
+
+@query(f"SELECT concept_id, hotel_id, score, doc_id, rank FROM ({_modes_sql('true')}) WHERE mode = 'full_hybrid'")
+def full_hybrid_search(spark, d):
+    """BM25 fused with the vector search over all documents, reranked by a pluggable scorer, here term overlap, and rolled up."""
+    return _modes(spark, d, ["full_hybrid"], None).drop("mode")
 
 
 @query(f"""WITH b AS ({_BM25.replace("<= 10", "<= 50")}), j AS (SELECT b.concept_id, hotel_id, doc_id, score FROM b JOIN documents USING (doc_id) WHERE hotel_id IS NOT NULL),

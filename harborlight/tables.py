@@ -35,6 +35,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Files up to which a table's state is asked for.
+MOST_FILES = 10_000
+
+
+def table_state(df: DataFrame) -> tuple | None:
+    """The session, the plan and the table's files with their sizes and times: what was built from a table in one state holds
+    until it changes. None where the files are too many, or none, to tell."""
+    files = df.inputFiles()
+    if not 0 < len(files) <= MOST_FILES:
+        return None
+    spark = df.sparkSession
+    conf, out = spark._jsc.hadoopConfiguration(), [spark.sparkContext.applicationId, df.semanticHash()]
+    for f in sorted(files):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table of its own in the shared folder and read again; cuts the lineage and keeps columns apart, so
     that each use reads only those it needs."""

@@ -67,9 +67,9 @@ def test_cities_with_marks_or_other_signs_have_ids_and_texts(spark, tmp_path):
     nfc, nfd = "Đà Nẵng", unicodedata.normalize("NFD", "Đà Nẵng")
     cities = [nfc, nfd, nfd, "Da Nang", "Da Nang", "H? N?i", "Huế?", "Huế", "Huế", "???", "樂", None, " "]
     spark.createDataFrame([(i, c, i) for i, c in enumerate(cities)], "id long, city string, crawled_at long").write.parquet(f"{tmp_path}/hotels.parquet")
-    got = {(r.city, r.n, r.place_id) for r in __spark_entry__.queries()["place_ids"](spark, str(tmp_path)).collect()}
+    got = {(r.city, r.n, r.place_id) for r in __spark_entry__.queries()["location_ids"](spark, str(tmp_path)).collect()}
     assert got == {(nfc, 3, "DA_NANG"), ("Da Nang", 2, "DA_NANG_2"), ("H? N?i", 1, "H_N_I"), ("Huế", 2, "HUE"), ("Huế?", 1, "HUE_2"), ("???", 1, "PLACE"), ("樂", 1, "PLACE_2")}
-    texts = {r.id: (r.name, r.n) for r in __spark_entry__.queries()["city_texts"](spark, str(tmp_path)).collect()}
+    texts = {r.id: (r.name, r.n) for r in __spark_entry__.queries()["text_toolbox"](spark, str(tmp_path)).collect()}
     assert texts == {i: (c.strip() if i != 1 and i != 2 else nfc, len(unicodedata.normalize("NFC", c))) for i, c in enumerate(cities) if c is not None}
 
 
