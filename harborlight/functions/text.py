@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +44,17 @@ def tokens(text: Column, folded: bool = False) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text, False) if folded else F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def long_words(text: Column, least: int) -> Column:
+    """Words of letters alone, lower case, of ``least`` letters or more; an empty array for no text."""
+    return F.coalesce(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), F.lit(1)), lambda w: F.char_length(w) >= least), F.array().cast("array<string>"))
+
+
+def segmented(text: Column, segmenter: Callable[[Column], Column] | None = None) -> Column:
+    """The text's words joined by spaces, by a word segmenter for languages that don't write them apart: a function of a
+    column, such as a pandas UDF around a library. Without one the text stays as it is."""
+    return segmenter(text) if segmenter else text
+
+
 def sentences(text: Column, newlines: bool = False) -> Column:
     """Sentences with their end marks, trimmed, without empty ones; also cut at line ends where ``newlines`` is on."""
     pattern = r"(?<=[.!?])\s+|\n+" if newlines else r"(?<=[.!?…])\s+"

@@ -67,6 +67,16 @@ def union_all(*arrays: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*(text_list(a) for a in arrays)))))
 
 
+def with_prefix(values: Column, *prefixes: str) -> Column:
+    """The values that begin with one of the prefixes."""
+    return F.filter(values, lambda v: reduce(Column.__or__, (v.startswith(p) for p in prefixes)))
+
+
+def drop_nulls(entries: Column) -> Column:
+    """A map without the entries that hold null."""
+    return F.map_filter(entries, lambda _, v: v.isNotNull())
+
+
 def map_lines(entries: Column) -> Column:
     """``key: value`` of a map's entries whose value isn't null, by key."""
     return F.transform(F.array_sort(F.filter(F.map_entries(entries), lambda e: e["value"].isNotNull())), lambda e: F.concat_ws(": ", e["key"], e["value"]))
@@ -95,6 +105,11 @@ def lookup(key: Column, values: dict[str, str], default: str | None = None) -> C
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key), F.lit(default))
 
 
+def lookup_number(key: Column, values: dict[str, float]) -> Column:
+    """The number of a small fixed map; null for keys it hasn't."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _counts(buckets: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else np.bincount(b, minlength=n).astype(float) for b, n in zip(buckets, size)])

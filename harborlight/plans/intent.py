@@ -8,12 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import number_after, pattern_rules
+from ..functions.values import lookup_number
 from ..operators.mining import greedy_concepts
 
 #: Numbers that a request may name: the pattern's first group is the number.
 NUMBERS = {"star_min": r"(?i)([0-9](?:[.,][0-9])?)\s*(?:sao|stars?)(?![\p{L}])", "review_min": r"(?i)([0-9]+(?:[.,][0-9])?)\s*(?:điểm|points?)(?![\p{L}])", "km_max": r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*km(?![\p{L}])"}
 #: What each kind of finding adds to the confidence, out of three.
-WEIGHTS = {"place": 1.0, "amenity": 1.0, "star_min": 0.5, "review_min": 0.5, "km_max": 0.3}
+WEIGHTS = {"place": 1.0, "kinds": 1.0, "amenity": 1.0, "star_min": 0.5, "review_min": 0.5, "price": 0.3}
+# Words before a sum of money, and what its units are worth.
+CUES = {"max": "dưới|duoi|không quá|khong qua|tối đa|toi da|under|below|up to|<", "min": "trên|tren|từ|tu|over|above|from|>", "about": "khoảng|khoang|tầm|tam|cỡ|xấp xỉ|around|about"}
+UNITS = {"triệu": 1e6, "trieu": 1e6, "tr": 1e6, "million": 1e6, "nghìn": 1e3, "nghin": 1e3, "k": 1e3, "000": 1e3}
+#: How far a sum that is only about right reaches to both sides.
+ABOUT = 0.3
+
+
+def _money(text: Column, cue: str) -> Column:
+    """The sum of money after a cue, in units of one; a bare number has four digits or more."""
+    units = "|".join(UNITS)
+    pattern = rf"(?i)(?<![\p{{L}}])(?:{CUES[cue]})\s*([0-9]+(?:[.,][0-9]+)*)\s*({units})(?![\p{{L}}\p{{N}}])"
+    bare = rf"(?i)(?<![\p{{L}}])(?:{CUES[cue]})\s*([0-9]{{4,}})(?![\p{{L}}\p{{N}}.,])"
+    worth = lookup_number(F.lower(F.regexp_extract(text, pattern, 2)), UNITS)
+    return F.coalesce(number_after(text, pattern) * worth, number_after(text, bare))
+
+
+def prices(text: Column) -> list[Column]:
+    """The price_min and price_max a text names with its units; a sum that is about right gives both ends, a limit alone one."""
+    low, high, about = _money(text, "min"), _money(text, "max"), _money(text, "about")
+    near = high.isNull() & low.isNull()
+    return [F.coalesce(low, F.when(near, about * (1 - ABOUT))).alias("price_min"), F.coalesce(high, F.when(near, about * (1 + ABOUT))).alias("price_max")]
+
+
+def without_budget(concepts: Column, text: Column, budget: str = "PRICE_BUDGET") -> Column:
+    """The concepts without the one for cheap things where a text names its budget with a sum of money."""
+    named = F.lower(text).rlike(r"(budget|ngân sách|ngan sach)[^0-9]{0,6}[0-9.,]+\s*(triệu|trieu|tr|k|nghìn|nghin|đồng|dong)")
+    return F.when(named, F.array_remove(concepts, budget)).otherwise(concepts)
 
 
 def numbers(text: Column, patterns: dict[str, str] | None = None) -> list[Column]:
@@ -22,24 +50,32 @@ def numbers(text: Column, patterns: dict[str, str] | None = None) -> list[Column
 
 
 def parse(requests: DataFrame, key: str, text: str, dictionary: DataFrame, labels: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
-    """(key, text, numbers, place, amenities, rules, expanded, confidence) of every request.
+    """(key, text, numbers, price_min, price_max, place, kinds, amenities, rules, filters, expanded, confidence) of every
+    request.
 
-    Concepts are found greedily, the longest forms first; ``labels`` (concept_id, facet, label) tells their facet. The
-    first place and all amenities become filters; the expanded text has the labels of what was found. The confidence is
-    the sum of the weights of what was found over three, 1 at most. Requests without text get nulls and confidence 0.
+    Concepts are found greedily, the longest forms first; ``labels`` (concept_id, facet, label) tells their facet: city,
+    object for kinds of accommodation, amenity. The first place, the kinds and all amenities become filters beside the
+    numbers and prices; ``filters`` has those that were found, as JSON. The expanded text has the labels of what was found.
+    The confidence is the sum of the weights of what was found over three, 1 at most. Requests without text get nulls and
+    confidence 0.
     """
     found = greedy_concepts(requests, key, text, dictionary).join(labels.select(F.col("concept_id").alias("concept"), "facet", "label"), "concept")
     each = found.groupBy(key).agg(
         F.array_min(F.collect_set(F.when(F.col("facet") == "city", F.col("concept")))).alias("place"),
+        F.array_sort(F.collect_set(F.when(F.col("facet") == "object", F.col("concept")))).alias("kinds"),
         F.array_sort(F.collect_set(F.when(F.col("facet") == "amenity", F.col("concept")))).alias("amenities"),
         F.array_sort(F.collect_set("label")).alias("found_labels"),
     )
-    base = requests.select(key, text, *numbers(F.col(text)), pattern_rules(F.lower(text), rules or {}).alias("rules") if rules else F.array().cast("array<string>").alias("rules"))
-    out = base.join(each, key, "left").withColumn("amenities", F.coalesce("amenities", F.array().cast("array<string>")))
-    seen = {"place": F.col("place").isNotNull(), "amenity": F.size("amenities") > 0, **{n: F.col(n).isNotNull() for n in NUMBERS}}
+    base = requests.select(key, text, *numbers(F.col(text)), *prices(F.col(text)), pattern_rules(F.lower(text), rules or {}).alias("rules") if rules else F.array().cast("array<string>").alias("rules"))
+    empty = F.array().cast("array<string>")
+    out = base.join(each, key, "left").withColumn("amenities", F.coalesce("amenities", empty)).withColumn("kinds", F.coalesce("kinds", empty))
+    priced = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
+    seen = {"place": F.col("place").isNotNull(), "kinds": F.size("kinds") > 0, "amenity": F.size("amenities") > 0, "price": priced, **{n: F.col(n).isNotNull() for n in NUMBERS}}
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    filters = F.to_json(F.struct("place", some("kinds"), some("amenities"), *NUMBERS, "price_min", "price_max"))
     total = sum((F.when(seen[k], F.lit(w)).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))
     expanded = F.array_join(F.concat(F.array(F.coalesce(text, F.lit(""))), F.coalesce("found_labels", F.array().cast("array<string>"))), " ")
-    return out.select(key, text, *NUMBERS, "place", "amenities", "rules", F.trim(expanded).alias("expanded"), F.bround(F.least(F.lit(1.0), total / 3), 2).alias("confidence"))
+    return out.select(key, text, *NUMBERS, "price_min", "price_max", "place", "kinds", "amenities", "rules", filters.alias("filters"), F.trim(expanded).alias("expanded"), F.bround(F.least(F.lit(1.0), total / 3), 2).alias("confidence"))
 
 
 def merge_filters(parsed: dict, asked: dict | None) -> dict:

@@ -14,7 +14,7 @@ from ..operators import relational as R
 from ..tables import table
 from . import intent
 from .chunking import sections
-from .serving import H, hotels_once, rooms_once
+from .serving import H, hotels_once, registrar, rooms_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,14 +23,7 @@ _CUES_SQL = "[" + ", ".join(f"'{c}'" for c in CUES) + "]"
 _FORMS_SQL = "SELECT concept_id, unnest(list_concat([label_vi, label_en], surface_forms)) AS form FROM concepts WHERE facet = 'amenity'"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+query = registrar(QUERIES, ORACLE)
 
 
 def _forms(spark, d, facet: str | None = "amenity") -> DataFrame:

@@ -24,14 +24,22 @@ H = "(SELECT * FROM hotels WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTI
 RM = "(SELECT * FROM rooms WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY crawled_at) = 1)"
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+def registrar(queries: dict, oracle: dict) -> Callable:
+    """A decorator that enters a query, and its SQL if it has one, under the function's name."""
+
+    def query(sql: str | None = None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
+
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, ORACLE)
 
 
 def hotels_once(spark: SparkSession, d: str, *columns: str) -> DataFrame:

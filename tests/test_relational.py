@@ -176,6 +176,10 @@ def test_requests_become_filters(spark):
     got = {r.id: r for r in intent.parse(spark.createDataFrame(rows, "id long, t string"), "id", "t", d, labels, {"any": "bất kỳ"}).collect()}
     assert (got[1].star_min, got[1].review_min, got[1].place, got[1].amenities, got[1].confidence) == (4.0, 8.5, "C", ["P"], 1.0)
     assert got[1].expanded.endswith("Hồ bơi Trà Dương") and (got[2].confidence, got[3].confidence, got[3].rules) == (0.0, 0.0, ["any"])
+    assert got[1].filters == '{"place":"C","amenities":["P"],"star_min":4.0,"review_min":8.5}' and got[2].filters == "{}"
+    asked = [(1, "dưới 1,5 triệu"), (2, "trên 500k một đêm"), (3, "tầm 2tr"), (4, "từ 8 điểm, dưới 500000"), (5, "từ 1 triệu đến 3 triệu"), (6, None), (7, "khoảng 3 km"), (8, "under 2 million")]
+    got = {r.id: (r.price_min, r.price_max) for r in spark.createDataFrame(asked, "id long, t string").select("id", *intent.prices(F.col("t"))).collect()}
+    assert got == {1: (None, 1.5e6), 2: (5e5, None), 3: (1.4e6, 2.6e6), 4: (None, 5e5), 5: (1e6, None), 6: (None, None), 7: (None, None), 8: (None, 2e6)}
     assert intent.merge_filters({"city": "a", "star": 3}, {"city": "b", "star": None}) == {"city": "b", "star": 3}
     import pytest
 
