@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import ahocorasick
@@ -86,10 +87,11 @@ def find_forms(docs: DataFrame, key: str, text: str, forms: DataFrame, form: str
 
 
 def fuse_tags(tags: DataFrame, key: str, bonus: float = 0.05) -> DataFrame:
-    """(key, concept, confidence, sources, evidence) from (key, concept, confidence, source, evidence): the best confidence,
-    a bonus for two sources or more (1 at most), and the first five distinct pieces of evidence."""
-    agg = tags.groupBy(key, "concept").agg(F.max("confidence").alias("best"), F.array_sort(F.collect_set("source")).alias("sources"), F.slice(F.array_sort(F.collect_set("evidence")), 1, 5).alias("evidence"))
-    return agg.select(key, "concept", F.bround(F.least(F.lit(1.0), F.col("best") + F.when(F.size("sources") >= 2, bonus).otherwise(0.0)), 2).alias("confidence"), "sources", "evidence")
+    """(key, concept, confidence, nature, sources, evidence) from (key, concept, confidence, nature, source, evidence): the
+    best confidence, a bonus for two sources or more (1 at most), presence before experience, and the first five distinct
+    pieces of evidence."""
+    agg = tags.groupBy(key, "concept").agg(F.bool_or(F.col("nature") == "presence").alias("there"), F.max("confidence").alias("best"), F.array_sort(F.collect_set("source")).alias("sources"), F.slice(F.array_sort(F.collect_set("evidence")), 1, 5).alias("evidence"))
+    return agg.select(key, "concept", F.bround(F.least(F.lit(1.0), F.col("best") + F.when(F.size("sources") >= 2, bonus).otherwise(0.0)), 2).alias("confidence"), F.when(F.col("there"), "presence").otherwise("experience").alias("nature"), "sources", "evidence")
 
 
 def expand_once(sets: DataFrame, key: str, concept: str, edges: DataFrame) -> DataFrame:
@@ -104,11 +106,13 @@ def ngram_matches(df: DataFrame, key: str, text: str, dictionary: DataFrame, lon
     return grams.join(dictionary, "form").select(key, "form", "concept_ids")
 
 
-def profile(votes: DataFrame, group: str, voter: str, positive: Column) -> DataFrame:
-    """(group, pos, neg, score): one vote per voter and group, scored by Wilson's lower bound."""
-    once = votes.groupBy(group, voter).agg(F.bool_or(positive).alias("p"))
-    agg = once.groupBy(group).agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
-    return agg.select(group, "pos", "neg", F.round(wilson(F.col("pos"), F.col("pos") + F.col("neg")), 6).alias("score"))
+def profile(votes: DataFrame, group: str, voter: str, positive: Column, span: Column | None = None, order: str | None = None, least: int = 0) -> DataFrame:
+    """(group, pos, neg, score[, span]): one vote per voter and group, scored by Wilson's lower bound, of the groups with
+    ``least`` positive votes or more; the span is that of the first positive vote by ``order`` that has one."""
+    first = [F.min(F.when(positive & span.isNotNull(), F.struct(F.col(order).alias("o"), span.alias("s")))).alias("first")] if span is not None else []
+    once = votes.groupBy(group, voter).agg(F.bool_or(positive).alias("p"), *first)
+    agg = once.groupBy(group).agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"), *([F.min("first").alias("first")] if first else [])).where(F.col("pos") >= least)
+    return agg.select(group, "pos", "neg", F.round(wilson(F.col("pos"), F.col("pos") + F.col("neg")), 6).alias("score"), *([F.col("first.s").alias("span")] if first else []))
 
 
 def merge_seed(seed: DataFrame, mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,21 +129,101 @@ def validate(rows: DataFrame, known: DataFrame, key: str, concept: str, confiden
     return rows.join(ids, concept, "left").select(key, concept, F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
 
 
-def concept_search(objects: DataFrame, key: str, concepts: str, scores: str, hard: Sequence[str], soft: Sequence[str], feel: Sequence[str], live: DataFrame, rating: str, least: float = 0.6, size: int = 20) -> DataFrame:
-    """Objects that have every hard concept and a score of ``least`` for every feel concept, by the number of soft concepts
-    present, the sum of feel scores and the rating. Concepts that no object has are no condition."""
-    alive = {r[0] for r in live.where(F.col("concept").isin([*hard, *feel])).select("concept").distinct().collect()}
-    hard, feel_on = [c for c in hard if c in alive], [c for c in feel if c in alive]
+def merge_edges(known: DataFrame, mined: DataFrame) -> DataFrame:
+    """(src, dst, source, lift): the ontology's edges, without loops, then the mined ones that it hasn't."""
+    own = known.where("src <> dst").select("src", "dst").distinct()
+    more = mined.join(own, ["src", "dst"], "left_anti").select("src", "dst", F.lit("cooccurrence").alias("source"), "lift")
+    return own.select("src", "dst", F.lit("relation").alias("source"), F.lit(None).cast("double").alias("lift")).unionByName(more)
+
+
+def audit_rules(rules: DataFrame, given: DataFrame, wanted: DataFrame, key: str, concept: str) -> DataFrame:
+    """(src, dst, triggers, hits, noise) of expansion rules: the keys that have src, and of these those that want dst."""
+    fired = rules.join(given.select(key, F.col(concept).alias("src")).distinct(), "src")
+    met = fired.join(wanted.select(key, F.col(concept).alias("dst")).distinct().withColumn("met", F.lit(True)), [key, "dst"], "left")
+    return met.groupBy("src", "dst").agg(F.count("*").alias("triggers"), F.count("met").alias("hits"), (F.count("*") - F.count("met")).alias("noise"))
+
+
+def request_class(intent: Column, expected: Column, parsed: Column, wanted: Column, missing: Column, routed: Sequence[str]) -> Column:
+    """What became of a request, for people to look at: router_needed for intents with one of the ``routed`` prefixes, unless
+    only aspects are expected (out_of_scope), parser_miss if an expected or expanded concept is missing, expansion_risk if
+    concepts came that nothing wants, else ok."""
+    aspects = (F.size(expected) > 0) & F.forall(expected, lambda c: c.startswith("ASPECT_"))
+    route = reduce(Column.__or__, (F.coalesce(intent.startswith(p), F.lit(False)) for p in routed), F.lit(False))
+    lost = (F.size(F.array_except(expected, parsed)) > 0) | (F.size(missing) > 0)
+    extra = (F.size(wanted) == 0) & (F.size(F.array_except(parsed, expected)) > 0)
+    return F.when(aspects, "out_of_scope").when(route, "router_needed").when(lost, "parser_miss").when(extra, "expansion_risk").otherwise("ok")
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """What a concept search asks for: concepts to have, to prefer and to feel, kinds of objects, concepts that are evidence of
+    a purpose, a folded piece of the place's name, least stars and score, and a price to be near."""
+
+    hard: Sequence[str] = ()
+    soft: Sequence[str] = ()
+    feel: Sequence[str] = ()
+    kinds: Sequence[str] = ()
+    evidence: Sequence[str] = ()
+    place: str | None = None
+    star: float | None = None
+    score: float | None = None
+    price: float | None = None
+
+
+def object_search(objects: DataFrame, key: str, wanted: Wanted, least: float = 0.6, size: int = 15) -> DataFrame:
+    """(key, n_soft, n_purpose, feel, price_gap, rating, rank) of the ``size`` best objects (key, concepts, scores, kind,
+    where, star, review_score, price) that have all hard concepts, a score of ``least`` for every feel concept and what else
+    is asked for. Hard and feel concepts that no object satisfies are no condition; one aggregation tells which.
+
+    Ranked by preferred concepts, evidence of the purpose, sum of feel scores, distance from the price (last where either is
+    unknown or 0), rating and key.
+    """
+    score = lambda c: F.coalesce(F.try_element_at("scores", F.lit(c)), F.lit(0.0))
+    among = lambda cs: F.size(F.array_intersect("concepts", F.array(*map(F.lit, cs)))) if cs else F.lit(0)
+    terms = [F.array_contains("concepts", c) for c in wanted.hard] + [score(c) >= least for c in wanted.feel]
+    alive = objects.agg(*(F.bool_or(t).alias(f"t{i}") for i, t in enumerate(terms))).first() if terms else ()
     found = objects
-    if hard:
-        found = found.where(F.size(F.array_except(F.array(*map(F.lit, hard)), F.col(concepts))) == 0)
-    for c in feel_on:
-        found = found.where(F.coalesce(F.try_element_at(F.col(scores), F.lit(c)), F.lit(0.0)) >= least)
-    n_soft = F.size(F.array_intersect(F.col(concepts), F.array(*map(F.lit, soft)))) if soft else F.lit(0)
-    total = sum((F.coalesce(F.try_element_at(F.col(scores), F.lit(c)), F.lit(0.0)) for c in feel), F.lit(0.0))
-    ranked = found.select(key, n_soft.alias("n_soft"), F.round(total, 6).alias("feel"), F.col(rating).cast("double").alias("rating"), F.lit(1).alias("_q"))
-    out = ranked.orderBy(F.col("n_soft").desc(), F.col("feel").desc(), F.col("rating").desc_nulls_last(), F.col(key)).limit(size)
-    return first_rows(out, ["_q"], [F.col("n_soft").desc(), F.col("feel").desc(), F.col("rating").desc_nulls_last(), F.col(key)], size).select(key, "n_soft", "feel", "rating", "rank")
+    for t, on in zip(terms, alive):
+        found = found.where(t) if on else found
+    if wanted.kinds:
+        found = found.where(F.col("kind").isin(list(wanted.kinds)))
+    if wanted.place:
+        found = found.where(fold(F.col("where"), False).contains(wanted.place))
+    for c, x in (("star", wanted.star), ("review_score", wanted.score)):
+        found = found.where(F.col(c) >= x) if x is not None else found
+    gap = F.when(F.col("price") > 0, F.abs(F.col("price") - wanted.price)).otherwise(F.lit(1e12)) if wanted.price else F.lit(1e12)
+    feel = F.round(sum((score(c) for c in wanted.feel), F.lit(0.0)), 6)
+    ranked = found.select(key, among(wanted.soft).alias("n_soft"), among(wanted.evidence).alias("n_purpose"), feel.alias("feel"), gap.alias("price_gap"), F.col("review_score").cast("double").alias("rating"), F.lit(1).alias("_q"))
+    order = [F.col("n_soft").desc(), F.col("n_purpose").desc(), F.col("feel").desc(), F.col("price_gap"), F.col("rating").desc_nulls_last(), F.col(key)]
+    return first_rows(ranked.orderBy(*order).limit(size), ["_q"], order, size).drop("_q")
+
+
+def annotate(rows: DataFrame, call: Callable[[list[dict]], list[str | None]], tries: int = 3, batch: int = 32) -> DataFrame:
+    """The rows with a column ``answer`` of what ``call`` says to each batch of them, such as a model. A call that raises is
+    tried again; after ``tries`` the answers are null and ``failed`` is true, so a later run can take up those rows. A
+    PermissionError is not tried again: it ends the job."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, answer string, failed boolean"
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            answers: list[str | None] = []
+            failed: list[bool] = []
+            asked = frame.to_pylist()
+            for k in range(0, len(asked), batch):
+                part, said = asked[k : k + batch], None
+                for _ in range(tries):
+                    try:
+                        said = list(call(part))
+                        break
+                    except PermissionError:
+                        raise
+                    except Exception:  # noqa: BLE001
+                        continue
+                answers += said if said is not None else [None] * len(part)
+                failed += [said is None] * len(part)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(answers, pa.string()), pa.array(failed, pa.bool_())], names=[*frame.schema.names, "answer", "failed"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def pick_forms(words: Sequence[str], found: Iterable[tuple[str, int]]) -> list[str]:

@@ -100,6 +100,15 @@ def share_by(df: DataFrame, group: str, flag: Column, least: int) -> DataFrame:
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(F.coalesce(flag, F.lit(False)).cast("int")).alias("share")).where(F.col("n") >= least)
 
 
+def shares_by(df: DataFrame, group: str, flags: dict[str, tuple[Column, float]], least: int, name: str) -> DataFrame:
+    """(group, name, share) of the signals that hold for a share of a group's rows no less than the signal's own threshold,
+    in groups of ``least`` rows or more; all signals in one aggregation."""
+    cols = [F.avg(F.coalesce(f, F.lit(False)).cast("int")).alias(f"_s{i}") for i, (f, _) in enumerate(flags.values())]
+    agg = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"), *cols).where(F.col("_n") >= least)
+    rows = F.array(*(F.struct(F.lit(k).alias(name), F.col(f"_s{i}").alias("share"), F.lit(float(t)).alias("_t")) for i, (k, (_, t)) in enumerate(flags.items())))
+    return agg.select(group, F.explode(rows).alias("_x")).where("_x.share >= _x._t").select(group, f"_x.{name}", "_x.share")
+
+
 def mode_by(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n): the most frequent value of each group, the smaller one if several are."""
     counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
@@ -163,6 +172,20 @@ def resolve(rows: DataFrame, registry: DataFrame, tiers: Sequence[Sequence[str]]
     return rows.withColumn(id_col, F.coalesce(*found)).drop(*found)
 
 
+def register(rows: DataFrame, registry: DataFrame, tiers: Sequence[Sequence[str]], id_col: str, proposed: Column) -> DataFrame:
+    """Rows with their registered id, or the one proposed for them, and whether it is ``fresh``; ids that were given never
+    change. The fresh ones, once each, are what to append to the registry."""
+    return resolve(rows, registry, tiers, id_col).withColumn("fresh", F.col(id_col).isNull()).withColumn(id_col, F.coalesce(id_col, proposed))
+
+
+def map_all(names: DataFrame, ids: DataFrame, key: str, id_col: str, most: int = 20) -> DataFrame:
+    """Names with their ids, all or none: raises ValueError, naming some, if any name has no id."""
+    lost = names.join(ids, key, "left_anti").select(key).limit(most + 1).collect()
+    if lost:
+        raise ValueError(f"no id for {[r[0] for r in lost[:most]]}{' and more' if len(lost) > most else ''}")
+    return names.join(ids.select(key, id_col), key)
+
+
 def union_keep_order(lists: Sequence[DataFrame], group: str, item: str, rank: str, most: int) -> DataFrame:
     """Ranked lists one after the other, each item once at its first place, cut to ``most`` a group."""
     tagged = reduce(DataFrame.unionByName, (d.select(group, item, F.lit(i).alias("_list"), F.col(rank).alias("_rank")) for i, d in enumerate(lists)))

@@ -61,19 +61,19 @@ def negation_tagging(spark, d):
 
 
 @query(f"""WITH {_TAGS_SQL}, h AS {H},
-r AS (SELECT d.hotel_id, g.concept, 0.9 AS confidence, 'rule' AS source, form AS evidence FROM g JOIN documents d USING (doc_id) WHERE NOT negated AND hotel_id IS NOT NULL),
-s AS (SELECT h.id AS hotel_id, c.concept_id AS concept, 0.95 AS confidence, 'source' AS source, v AS evidence FROM (SELECT id, unnest(amenities) AS v FROM h) h JOIN concepts c ON c.label_vi = v AND c.facet = 'amenity'),
+r AS (SELECT d.hotel_id, g.concept, 0.9 AS confidence, 'experience' AS nature, 'rule' AS source, form AS evidence FROM g JOIN documents d USING (doc_id) WHERE NOT negated AND hotel_id IS NOT NULL),
+s AS (SELECT h.id AS hotel_id, c.concept_id AS concept, 0.95 AS confidence, 'presence' AS nature, 'source' AS source, v AS evidence FROM (SELECT id, unnest(amenities) AS v FROM h) h JOIN concepts c ON c.label_vi = v AND c.facet = 'amenity'),
 a AS (SELECT * FROM r UNION ALL SELECT * FROM s)
-SELECT hotel_id, concept, CAST(round_even(least(1.0, max(confidence) + CASE WHEN count(DISTINCT source) >= 2 THEN 0.05 ELSE 0 END), 2) AS DOUBLE) AS confidence,
+SELECT hotel_id, concept, CAST(round_even(least(1.0, max(confidence) + CASE WHEN count(DISTINCT source) >= 2 THEN 0.05 ELSE 0 END), 2) AS DOUBLE) AS confidence, CASE WHEN bool_or(nature = 'presence') THEN 'presence' ELSE 'experience' END AS nature,
 list_sort(list(DISTINCT source)) AS sources, list_slice(list_sort(list(DISTINCT evidence)), 1, 5) AS evidence FROM a GROUP BY 1, 2""")
 def tag_fusion(spark, d):
     """Tags of hotels from their amenities and from their documents, fused."""
     rule = K.find_forms(table(spark, d, "documents"), "doc_id", "text", _forms(spark, d), "form", "concept_id", CUES).where("not negated")
     owner = table(spark, d, "documents").where("hotel_id is not null").select("doc_id", "hotel_id")
-    rule = rule.join(owner, "doc_id").select("hotel_id", "concept", F.lit(0.9).alias("confidence"), F.lit("rule").alias("source"), F.col("form").alias("evidence"))
+    rule = rule.join(owner, "doc_id").select("hotel_id", "concept", F.lit(0.9).alias("confidence"), F.lit("experience").alias("nature"), F.lit("rule").alias("source"), F.col("form").alias("evidence"))
     labels = table(spark, d, "concepts").where("facet = 'amenity'").select(F.col("concept_id").alias("concept"), F.col("label_vi").alias("v"))
     own = hotels_once(spark, d, "amenities").select(F.col("id").alias("hotel_id"), F.explode("amenities").alias("v")).join(labels, "v")
-    return K.fuse_tags(rule.unionByName(own.select("hotel_id", "concept", F.lit(0.95).alias("confidence"), F.lit("source").alias("source"), F.col("v").alias("evidence"))), "hotel_id")
+    return K.fuse_tags(rule.unionByName(own.select("hotel_id", "concept", F.lit(0.95).alias("confidence"), F.lit("presence").alias("nature"), F.lit("source").alias("source"), F.col("v").alias("evidence"))), "hotel_id")
 
 
 @query("""WITH t AS (SELECT concept, count(*) AS n FROM (SELECT c.concept_id AS concept FROM (SELECT DISTINCT id, unnest(amenities) AS v FROM hotels) h JOIN concepts c ON c.label_vi = v AND c.facet = 'amenity') GROUP BY 1)
@@ -169,8 +169,9 @@ def concept_search(spark, d):
     """Objects with a pool and good rooms, ranked by soft concepts, feel and rating."""
     feel = table(spark, d, "rooms").where("hotel_id is not null and review_score is not null").groupBy(F.col("hotel_id").alias("id")).agg((F.avg("review_score").cast("double") / 10).alias("q"))
     objects = _objects(spark, d).join(feel, "id", "left").withColumn("scores", F.create_map(F.lit("STYLE_GOOD"), F.coalesce("q", F.lit(0.0))))
-    live = objects.select(F.explode("concepts").alias("concept")).unionAll(objects.select(F.lit("STYLE_GOOD")))
-    return K.concept_search(objects, "id", "concepts", "scores", ["AMEN_POOL", "AMEN_UNKNOWN"], ["AMEN_GYM", "AMEN_SAUNA", "AMEN_BAR"], ["STYLE_GOOD"], live, "review_score")
+    objects = objects.withColumn("price", F.lit(None).cast("double"))
+    out = K.object_search(objects, "id", K.Wanted(hard=["AMEN_POOL", "AMEN_UNKNOWN"], soft=["AMEN_GYM", "AMEN_SAUNA", "AMEN_BAR"], feel=["STYLE_GOOD"]), size=20)
+    return out.select("id", "n_soft", "feel", "rating", "rank")
 
 
 @query(f"""WITH h AS {H}, n AS (SELECT DISTINCT id, hotel_id, name, type FROM nearby_places WHERE hotel_id IS NOT NULL AND name IS NOT NULL)

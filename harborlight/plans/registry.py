@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..operators import geo, shred
-from . import catalogue, knowledge, serving
+from . import catalogue, knowledge, objects, serving
 
 QUERIES: dict[str, Callable] = {
     "p2_found": shred.p2_found,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable] = {
     **serving.QUERIES,
     **knowledge.QUERIES,
     **catalogue.QUERIES,
+    **objects.QUERIES,
 }
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians({b}.latitude - {a}.latitude) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({b}.longitude - {a}.longitude) / 2), 2))))"
@@ -45,4 +46,4 @@ WHERE n.distance_km IS NOT NULL AND abs(CAST(n.distance_km AS DOUBLE) - {km("h",
 """
 
 
-ORACLE: dict[str, str] = {"p3_found": _p3(), **serving.ORACLE, **knowledge.ORACLE, **catalogue.ORACLE}
+ORACLE: dict[str, str] = {"p3_found": _p3(), **serving.ORACLE, **knowledge.ORACLE, **catalogue.ORACLE, **objects.ORACLE}

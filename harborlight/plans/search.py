@@ -182,6 +182,13 @@ def context(chunks: DataFrame, group: str, key: str, text: str, score: str, budg
     return packed.select(group, F.array_join(F.transform("c", lambda c: c["text"]), separator).alias("context_text"), F.array_join(cite, ",").alias("citations"), F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0), lambda s, c: s + c["_tokens"]).alias("used_tokens"))
 
 
+def with_metadata(contexts: DataFrame, metadata: DataFrame, group: str, name: str, count: Callable[[Column], Column] = approximate_tokens) -> DataFrame:
+    """Contexts beside the metadata of their group, with the tokens of both by ``count``; a group without a context has its
+    metadata alone, no chunks and no context tokens."""
+    out = metadata.join(contexts, group, "left")
+    return out.select(*metadata.columns, "context_text", "citations", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(F.col("context_text").isNull(), F.lit(0)).otherwise(count(F.col("context_text"))).alias("context_tokens"), count(F.col(name)).alias("metadata_tokens"))
+
+
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """(query, recall, hit, mrr, ndcg, zero_result) at k, for every query with relevant keys.
 
