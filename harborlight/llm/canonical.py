@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -26,63 +27,68 @@ _FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _FROM = LOOK_ALIKE + WIDE + _FULL + SPACES + FILLERS
 _TO = LATIN_TWIN + PLAIN + "".join(chr(ord(c) - 0xFEE0) for c in _FULL) + " " * len(SPACES)
 #: What doesn't show and the collation ignores: format and control characters but white space.
-_HIDDEN = r"[\p{Cf}\p{Cc}&&[^\s\x{85}]]"
-_PICTURE = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
+_HIDDEN = "".join(c for c in map(chr, [*range(0x10000), 0x110BD, 0x110CD, *range(0x13430, 0x13440), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE0080)]) if unicodedata.category(c) in ("Cf", "Cc") and c not in "\t\n\x0b\x0c\r\x85")
+_PICTURE = "\U0001f000-\U0001faff\u2600-\u27bf"
 
 #: Ligatures and half-width kana, which stand for the characters they are made of.
 _MADE_OF = {c: unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFB00, 0xFB07), *range(0xFF61, 0xFFDD)) if c != 0xFFA0}
-#: Texts that go through Python: with combining marks, Greek or Cyrillic letters, Hangul parts, ligatures, half-width kana,
-#: or letters that canonical composition takes apart. Other canonically equal signs are left to the collation.
-_APART = r"[\p{M}\x{370}-\x{52F}\x{958}-\x{95F}\x{9DC}-\x{9DF}\x{A33}\x{A36}\x{A59}-\x{A5E}\x{B5C}\x{B5D}\x{F43}-\x{F69}\x{1100}-\x{11FF}\x{1F00}-\x{1FFF}\x{2ADC}\x{FB00}-\x{FB06}\x{FB1D}-\x{FB4E}\x{FF61}-\x{FFDC}\x{1D15E}-\x{1D1C0}]"
+def _signs(ranges: str) -> str:
+    """The inside of a character class from ranges of code points in hexadecimal."""
+    return "".join(f"\\U{int(a, 16):08x}-\\U{int(b or a, 16):08x}" for a, _, b in (r.partition("-") for r in ranges.split()))
+
+
+_MARKS = "".join(c for c in map(chr, [*range(0x20000), *range(0xE0100, 0xE01F0)]) if unicodedata.category(c)[0] == "M")
+#: Texts whose letters are mapped apart from their marks: with combining marks, Greek or Cyrillic letters, Hangul parts,
+#: ligatures, half-width kana, or letters that canonical composition takes apart.
+_APART = re.compile(f"[{_MARKS}{_signs('370-52F 958-95F 9DC-9DF A33 A36 A59-A5E B5C B5D F43-F69 1100-11FF 1F00-1FFF 2ADC FB00-FB06 FB1D-FB4E FF61-FFDC 1D15E-1D1C0')}]")
 #: Characters among which the collation takes only canonically equal ones for equal, besides those it ignores. Texts with any
 #: other (digits and letters of other scripts, circled and mathematical signs, marks, joined pictures) get an exact check.
-_SURE = (
-    r"\x00-\x{A9}\x{AB}-\x{B3}\x{B5}-\x{B9}\x{BB}-\x{E5}\x{E7}-\x{EF}\x{F1}-\x{126}\x{128}-\x{17E}\x{180}-\x{1BD}\x{1BF}-\x{1F2}\x{1F4}-\x{24F}\x{386}-\x{482}\x{48A}-\x{52F}\x{1E00}-\x{1EFF}"
-    r"\x{200B}-\x{2027}\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{206F}\x{20A0}-\x{20C0}\x{2126}\x{212A}\x{212B}\x{2190}-\x{23FF}\x{2500}-\x{2775}\x{2794}-\x{27BF}\x{3001}-\x{3006}\x{3008}-\x{3020}\x{3041}-\x{3096}\x{309D}-\x{30FF}"
-    r"\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FEFF}\x{1F300}-\x{1FAFF}\x{20000}-\x{2A6DF}\x{2F800}-\x{2FA1D}\x{E0001}-\x{E007F}"
+_SURE = _signs(
+    "0-A9 AB-B3 B5-B9 BB-E5 E7-EF F1-126 128-17E 180-1BD 1BF-1F2 1F4-24F 386-482 48A-52F 1E00-1EFF 200B-2027 202A-202E 2030-205E 2060-206F 20A0-20C0 2126 212A 212B 2190-23FF 2500-2775 2794-27BF "
+    "3001-3006 3008-3020 3041-3096 309D-30FF 3400-9FFF AC00-D7A3 F900-FAFF FEFF 1F300-1FAFF 20000-2A6DF 2F800-2FA1D E0001-E007F"
 )
-_UNSURE = rf"[^{_SURE}]|{_PICTURE}\x{{200D}}"
-
-
-@F.pandas_udf(T.StringType())
-def _decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFD", t.translate(_MADE_OF)))
+_UNSURE = re.compile(rf"[^{_SURE}]|[{_PICTURE}]\u200d")
+#: Texts of these characters alone, the great part, need nothing but their white space mapped, and no check.
+_PLAIN = r"[^\t-\r\x20-\x7E\x{C0}-\x{CF}\x{D1}-\x{E5}\x{E7}-\x{EF}\x{F1}-\x{126}\x{128}-\x{17E}\x{1A0}-\x{1B0}\x{1E00}-\x{1EFF}\x{2013}-\x{201F}\x{2026}]"
 
+_TWINS = {**str.maketrans(_FROM[: len(_TO)], _TO), **dict.fromkeys(map(ord, FILLERS))}
+_GAP = re.compile(f"[{re.escape(_HIDDEN)}]*[ \t\n\x0b\x0c\r][ \t\n\x0b\x0c\r{re.escape(_HIDDEN)}]*")
+_AROUND = re.compile(f"^[ {re.escape(_HIDDEN)}]+|[ {re.escape(_HIDDEN)}]+$")
+_INSIDE = re.compile(f"(?:(?!\u200d)[{re.escape(_HIDDEN)}]|(?<![{_PICTURE}])\u200d)+")
 
-@F.pandas_udf(T.StringType())
-def _composed(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
+def map_text(text: str) -> str:
+    """Every character replaced by the plainest one that looks like it, runs of white space as one space, none at the ends.
+    Letters are mapped apart from their marks and composed again, as the collation doesn't reorder a mark behind a composed
+    letter; hidden characters within words are left to the collation."""
+    apart = _APART.search(text) is not None
+    t = (unicodedata.normalize("NFD", text.translate(_MADE_OF)) if apart else text).translate(_TWINS)
+    t = _AROUND.sub("", _GAP.sub(" ", t))
+    return unicodedata.normalize("NFC", t) if apart else t
 
-#: Texts of these characters alone, the great part, need nothing but their white space mapped.
-_PLAIN = r"[^\t-\r\x20-\x7E\x{C0}-\x{CF}\x{D1}-\x{E5}\x{E7}-\x{EF}\x{F1}-\x{126}\x{128}-\x{17E}\x{1A0}-\x{1B0}\x{1E00}-\x{1EFF}\x{2013}-\x{201F}\x{2026}]"
 
+def final_form(mapped: str) -> str:
+    """A mapped text composed, without hidden characters but the joiner of pictures."""
+    return unicodedata.normalize("NFC", _INSIDE.sub("", mapped))
 
-def look_alike(text: Column) -> Column:
-    """The text with every character replaced by the plainest one that looks like it, runs of white space as one space, none
-    at the ends. Null gives null. Case, accents and punctuation stay; hidden characters within words are left to the collation.
 
-    Only texts that match ``_APART`` go through Python: their letters are mapped apart from their marks and composed again,
-    as the collation doesn't reorder a mark behind a composed letter.
-    """
-    other = text.rlike(_PLAIN)
-    marked = other & text.rlike(_APART)
-    apart = F.coalesce(_decomposed(F.when(marked, text)), text)
-    spaced = F.regexp_replace(F.translate(apart, _FROM, _TO), rf"{_HIDDEN}*\s[\s{_HIDDEN}]*", " ")
-    mapped = F.regexp_replace(spaced, rf"^[\s{_HIDDEN}]+|[\s{_HIDDEN}]+$", "")
-    composed = F.coalesce(_composed(F.when(marked, mapped)), mapped)
-    return F.when(other, composed).otherwise(F.trim(F.regexp_replace(text, r"\s{2,}|[\t-\r]", " ")))
+_FORMS = T.StructType([T.StructField("mapped", T.StringType()), T.StructField("form", T.StringType()), T.StructField("unsure", T.BooleanType())])
 
 
-def consistent(mapped: Column) -> Column:
-    """A mapped text in its final form: composed, without hidden characters but the joiner of pictures."""
-    shown = F.regexp_replace(mapped, rf"(?:(?!\x{{200D}}){_HIDDEN}|(?<!{_PICTURE})\x{{200D}})+", "")
-    return F.when(shown.rlike(r"[^\x00-\x{2FF}\x{1E00}-\x{1EFF}]"), _composed(shown)).otherwise(shown)
+@F.pandas_udf(_FORMS)
+def _forms(s: pd.Series) -> pd.DataFrame:
+    mapped = [None if t is None else map_text(t) for t in s]
+    return pd.DataFrame({"mapped": mapped, "form": [None if m is None else final_form(m) for m in mapped], "unsure": [m is not None and _UNSURE.search(m) is not None for m in mapped]})
 
 
 def _values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    long = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("stored")) for f in fields))).alias("v")).select("id", "v.field", "v.stored")
-    return long.withColumn("mapped", look_alike(F.col("stored"))).where("mapped != ''")
+    """(id, field, stored, mapped, form, unsure) of every value that isn't null or blank. Plain texts are mapped in the JVM,
+    the others, each once, in Arrow batches."""
+    some = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *(F.col(f).cast("string").alias(f"s{i}") for i, f in enumerate(fields)))
+    seen = some.select("*", *(_forms(F.when(F.col(f"s{i}").rlike(_PLAIN), F.col(f"s{i}"))).alias(f"x{i}") for i in range(len(fields))))
+    plain = lambda i: F.trim(F.regexp_replace(F.col(f"s{i}"), r"\s{2,}|[\t-\r]", " "))
+    done = seen.select("id", *(F.struct(F.lit(f).alias("field"), F.col(f"s{i}").alias("stored"), F.coalesce(F.col(f"x{i}.mapped"), plain(i)).alias("mapped"), F.col(f"x{i}.form").alias("form"), F.coalesce(F.col(f"x{i}.unsure"), F.lit(False)).alias("unsure")).alias(f"v{i}") for i, f in enumerate(fields)))
+    return done.select("id", F.explode(F.array(*(f"v{i}" for i in range(len(fields))))).alias("v")).select("id", "v.*").where("mapped != ''")
 
 
 def _collation_key(text: Column) -> Column:
@@ -98,17 +104,15 @@ _CLASS = ["field", "look", "exact"]
 
 def _keys(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, field, look, exact, stored): the hash of the key under the Unicode collation, the exact check where it is needed
-    (null elsewhere), the hash of the stored text.
+    (0 elsewhere), the hash of the stored text.
 
     UNICODE compares case, accents and punctuation, ignores what doesn't show, and takes canonically equal texts for equal;
     so the key alone gives the class of texts whose characters are all among ``_SURE``. It also takes digits of several
     scripts, variants of one sign and some sequences (a Thai vowel before or after its letter) for equal, which look
     different; texts with such characters are told apart by the hash of their final form.
     """
-    mapped = F.col("mapped")
-    unsure = F.when(mapped.rlike(_PLAIN), mapped.rlike(_UNSURE)).otherwise(F.lit(False))
-    exact = F.when(F.col("unsure"), F.xxhash64(consistent(F.when(F.col("unsure"), mapped)))).otherwise(F.lit(0)).alias("exact")
-    return _values(df, key, fields).withColumn("unsure", unsure).select("id", "field", F.xxhash64(_collation_key(mapped)).alias("look"), exact, F.xxhash64("stored").alias("stored"))
+    exact = F.when(F.col("unsure"), F.xxhash64("form")).otherwise(F.lit(0)).alias("exact")
+    return _values(df, key, fields).select("id", "field", F.xxhash64(_collation_key(F.col("mapped"))).alias("look"), exact, F.xxhash64("stored").alias("stored"))
 
 
 def membership(keys: DataFrame) -> DataFrame:
@@ -144,8 +148,8 @@ def canonical(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     members = membership(cut_lineage(_keys(df, key, fields))).distinct()
     heads = members.select("field", "canonical_id", "canonical_stored").distinct()
     v = _values(df, key, fields)
-    texts = v.select("field", F.col("id").alias("canonical_id"), F.xxhash64("stored").alias("canonical_stored"), "mapped")
-    forms = texts.join(heads, ["field", "canonical_id", "canonical_stored"], "left_semi").dropDuplicates(["field", "canonical_id", "canonical_stored"]).withColumn("canonical", consistent(F.col("mapped"))).drop("mapped")
+    texts = v.select("field", F.col("id").alias("canonical_id"), F.xxhash64("stored").alias("canonical_stored"), F.coalesce("form", "mapped").alias("canonical"))
+    forms = texts.join(heads, ["field", "canonical_id", "canonical_stored"], "left_semi").dropDuplicates(["field", "canonical_id", "canonical_stored"])
     return members.join(forms, ["field", "canonical_id", "canonical_stored"]).select("id", "field", "canonical_id", "canonical").dropDuplicates(["id", "field"])
 
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import table, table_state
 from .canonical import LATIN_TWIN, LOOK_ALIKE
 
 LANGUAGES = ("vi", "en", "fr", "de", "es", "pt", "id", "ru", "ko", "ja", "zh", "th")
@@ -234,23 +234,9 @@ def train(labelled: Sequence[tuple[str, str]], seed: int = 7) -> Network:
     return net
 
 
-#: Networks by what they were fitted on, so that queries over one table share a fit; files up to which a table's state is asked for.
+#: Networks by what they were fitted on, so that queries over one table share a fit.
 _FITTED: dict[tuple, Network] = {}
-MOST_FITTED, MOST_FILES = 8, 10_000
-
-
-def _state(df: DataFrame) -> tuple | None:
-    """The plan and the files of a table with their sizes and times; None where that doesn't tell its state."""
-    files = df.inputFiles()
-    if not 0 < len(files) <= MOST_FILES:
-        return None
-    spark, out = df.sparkSession, [df.semanticHash()]
-    conf = spark._jsc.hadoopConfiguration()
-    for f in sorted(files):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        out.append((f, status.getLen(), status.getModificationTime()))
-    return tuple(out)
+MOST_FITTED = 8
 
 
 def fit(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS) -> Network:
@@ -260,7 +246,7 @@ def fit(df: DataFrame, text: str, label: str, key: str, rows: int = TRAIN_ROWS)
     A count gives the bound of the hash below which some more than ``rows`` lie, so that no partition sends more than its
     share of them, however many there are.
     """
-    state = _state(df)
+    state = table_state(df)
     if state and (net := _FITTED.get((state, text, label, key, rows))):
         return net
     code = F.lower(F.regexp_extract(F.col(label), _LABEL, 1))
