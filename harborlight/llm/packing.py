@@ -110,8 +110,8 @@ def pack(sizes: DataFrame, capacity: int, bucket_items: int = BUCKET_ITEMS) -> D
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    # full containers of split documents have ids of their own: negative, from a hash of document and part
-    own = full.withColumn("container_id", F.xxhash64("doc_id", "part").bitwiseOR(F.lit(-(1 << 63))))
+    # full containers of split documents have ids of their own: negative, by their place in what was written
+    own = full.withColumn("container_id", -(F.monotonically_increasing_id() + 1))
     cols = ["doc_id", "part", (F.col("part") * F.lit(capacity)).cast("long").alias("start_token"), F.col("size").alias("n_tokens"), "container_id"]
     return out.select(*cols).unionByName(own.select(*cols))
 
@@ -119,3 +119,15 @@ def pack(sizes: DataFrame, capacity: int, bucket_items: int = BUCKET_ITEMS) -> D
 def p9_containers(spark, sf_dir: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, capacity: int = 2048) -> DataFrame:
     """Every document of one token or more in containers of 2,048 tokens of byte_bpe_50k."""
     return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer, folder), capacity)
+
+
+def p9_quality(spark, sf_dir: str, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, capacity: int = 2048) -> DataFrame:
+    """One row that tells whether the assignment is right and how good: containers, the least number that all tokens need,
+    containers over the capacity, documents that are not assigned whole, and documents in pieces that would have fitted."""
+    sizes = cut_lineage(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer, folder))
+    packed = cut_lineage(pack(sizes, capacity))
+    fill = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count("*").alias("containers"), F.count_if(F.col("n") > capacity).alias("over_capacity"))
+    got = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("parts"))
+    both = sizes.where("n_tokens > 0").join(got, "doc_id", "full")
+    docs = both.agg(F.ceil(F.sum("n_tokens") / capacity).alias("least_containers"), F.count_if(F.coalesce("got", F.lit(0)) != F.coalesce("n_tokens", F.lit(0))).alias("not_whole"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= capacity)).alias("split_in_vain"))
+    return fill.join(F.broadcast(docs)).select("containers", "least_containers", "over_capacity", "not_whole", "split_in_vain")

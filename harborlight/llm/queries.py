@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "p7_found": mapping.p7_found,
     "p8_ids": bpe.p8_ids,
     "p9_containers": packing.p9_containers,
+    "p9_quality": packing.p9_quality,
     "p10_found": residue.p10_found,
     "p10_clean": residue.p10_clean,
 }
