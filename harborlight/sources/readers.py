@@ -28,6 +28,11 @@ policy_notes array<string>, _corrupt string
 """
 
 
+def read_vectors(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """Vectors by key as ``write_vectors`` left them; they meet their texts by a join on the key."""
+    return spark.read.parquet(path).select(key, vector)
+
+
 def read_hotels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected) of nested records, one JSON document per file.
 
@@ -56,10 +61,22 @@ def to_tables(records: DataFrame) -> dict[str, DataFrame]:
     return {"hotels": hotels, "rooms": rooms, "nearby_places": nearby, "activities": activities}
 
 
+def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, r) of the lines of JSON files that aren't blank; ``r._corrupt`` is set where a line can't be parsed."""
+    text = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return text.select(F.input_file_name().alias("file"), F.col("value").alias("line"), parsed.alias("r"))
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON lines; blank lines and lines that can't be parsed are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    """Records of JSON lines; blank lines are left out, lines that can't be parsed are in ``rejected_lines``."""
+    rows = _lines(spark, path, schema).where(F.col("r._corrupt").isNull())
+    return rows.select("r.*").drop("_corrupt")
+
+
+def rejected_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line) of the lines that ``read_lines`` can't parse."""
+    return _lines(spark, path, schema).where(F.col("r._corrupt").isNotNull()).select("file", "line")
 
 
 def read_golden(spark: SparkSession, path: str, smoke: bool = False) -> DataFrame:
