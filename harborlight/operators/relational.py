@@ -60,19 +60,25 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def positions(df: DataFrame, group: str, order: Sequence[Column], position: str = "position") -> DataFrame:
-    """All rows of every group of any size with their ``position`` from 1; ``order`` has to tell all rows of a group apart.
+def positions(df: DataFrame, group: str, order: Sequence[Column], position: str = "position", cost: str | None = None, total: str = "total") -> DataFrame:
+    """All rows of every group of any size with their ``position`` from 1, and with the running ``total`` of ``cost`` if one
+    is given; ``order`` has to tell all rows of a group apart.
 
-    Rows are range-partitioned by group and order; places within a partition are shifted by the group's counts in the
-    partitions before, of which there is one row a group and partition. Rows with a null group take no part.
+    Rows are range-partitioned by group and order; places and totals within a partition are shifted by those of the group in
+    the partitions before, of which there is one row a group and partition. Rows with a null group take no part.
     """
     parts, by = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), [F.col(group), *order]
     # the bounds come from a sample, so both uses below have to read the same partitions
     cut = cut_lineage(df.where(F.col(group).isNotNull()).repartitionByRange(parts, *by).withColumn("_pid", F.spark_partition_id()))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    shift = cut.groupBy(group, "_pid").agg(F.count("*").alias("_n")).select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_pid").orderBy(*order)))
-    return local.join(shift, [group, "_pid"]).select(*df.columns, (F.col("_local") + F.col("_shift")).alias(position))
+    sums = [F.count("*").alias("_n"), *([F.sum(cost).alias("_c")] if cost else [])]
+    shift = cut.groupBy(group, "_pid").agg(*sums).select(group, "_pid", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_shift{c}") for c in (("_n", "_c") if cost else ("_n",))))
+    within = Window.partitionBy(group, "_pid").orderBy(*order)
+    local = cut.withColumn("_local", F.row_number().over(within))
+    if cost:
+        local = local.withColumn("_run", F.sum(cost).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    more = [(F.coalesce("_run", F.lit(0)) + F.col("_shift_c")).alias(total)] if cost else []
+    return local.join(shift, [group, "_pid"]).select(*df.columns, (F.col("_local") + F.col("_shift_n")).alias(position), *more)
 
 
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -135,25 +141,28 @@ def nearest_rank(df: DataFrame, group: Sequence[str], value: str, share: float,
     return df.groupBy(*group).agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias(name))
 
 
-def balanced_sample(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """Up to n rows of each group at even steps of its order: those at ranks floor(i * size / n), or all if it has no more."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_size", F.count("*").over(w))
-    hit = F.expr(f"_size <= {n} or exists(sequence(0, {n - 1}), i -> (i * _size) div {n} = _at)")
-    return ranked.where(hit).drop("_at", "_size")
+def balanced_sample(df: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:
+    """Up to n rows of each group of any size at even steps of its order: those at ranks floor(i * size / n), or all if it has
+    no more. ``order`` has to tell the rows of a group apart; rows with a null group take no part."""
+    placed = positions(df, group, order, "_at")
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size"))
+    # only steps i near rank * n / size can land on a rank
+    hit = F.expr(f"_size <= {n} or exists(sequence(greatest(0, ((_at - 1) * {n}) div _size - 1), least({n - 1}, ((_at - 1) * {n}) div _size + 2)), i -> (i * _size) div {n} = _at - 1)")
+    return placed.join(sizes, group).where(hit).select(*df.columns)
 
 
 def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[Column], cost: str, budget: int, least_cost: int = 0) -> DataFrame:
     """The first rows of each group whose costs add up to the budget at most; always the very first one.
 
     Where no row costs less than ``least_cost``, no more than budget / least_cost rows of a group can be kept; a rank limit
-    below the shuffle then leaves out the rest of a group of any size.
+    below the shuffle then leaves out the rest of a group of any size. Where costs can be 0, the running totals of a group
+    of any size come from ``positions``, for one group column whose rows ``order`` tells apart.
     """
     if least_cost > 0:
         df = first_rows(df, group, order, budget // least_cost + 1, "_rank")
+        run = df.withColumn("total", F.sum(cost).over(Window.partitionBy(*group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)))
     else:
-        df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    run = df.withColumn("total", F.sum(cost).over(Window.partitionBy(*group).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)))
+        run = positions(df, group[0], order, "_rank", cost)
     return run.where((F.col("_rank") == 1) | (F.col("total") <= budget)).withColumnRenamed("_rank", "rank")
 
 

@@ -318,7 +318,7 @@ def unit_vectors(spark, d):
 def budget_cut(spark, d):
     """Each user's first events within a budget of characters."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", F.char_length("props").cast("long").alias("n"))
-    return R.within_budget(e, ["user_id"], [F.col("ts"), F.col("event_id")], "n", 200).select("event_id", "user_id", "n", "total", "rank")
+    return R.within_budget(e, ["user_id"], [F.col("ts"), F.col("event_id")], "n", 200).select("event_id", "user_id", "n", "total", F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE review_score IS NULL) AS no_score, count(*) FILTER (WHERE star_rating >= 4 AND review_score < 6) AS conflicts, count(*) FILTER (WHERE amenities IS NULL OR len(amenities) = 0) AS no_amenities, count(DISTINCT city) AS cities FROM {H}""")

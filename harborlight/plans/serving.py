@@ -354,7 +354,7 @@ SELECT event_id, event_type, value FROM e WHERE n <= 40 OR pos IN (SELECT (i * e
 def balanced_sample(spark, d):
     """40 events of each type at even steps of their value."""
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    return R.balanced_sample(e, "event_type".split(), [F.col("value").asc_nulls_last(), F.col("event_id")], 40)
+    return R.balanced_sample(e, "event_type", [F.col("value").asc_nulls_last(), F.col("event_id")], 40)
 
 
 @query("""SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, event_type, count(*) AS n, round(count(*) / 300, 6) AS per_second FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from hypothesis import HealthCheck, given, settings
@@ -89,9 +90,22 @@ def test_budget_keeps_the_first_and_is_a_prefix(spark):
     assert sorted((r.g, r.r) for r in kept) == [("a", 1), ("b", 1), ("b", 2)]
 
 
-def test_balanced_sample_takes_even_steps(spark):
-    df = spark.createDataFrame([(1, i) for i in range(10)], "g int, v int")
-    assert sorted(r.v for r in R.balanced_sample(df, ["g"], [F.col("v")], 4).collect()) == [int(i * 10 / 4) for i in range(4)]
+@pytest.mark.parametrize("n", [1, 4, 7])
+def test_balanced_sample_takes_even_steps_of_groups_of_any_size(spark, n):
+    sizes = {"a": 1, "b": 7, "c": 10, "d": 400}
+    df = spark.createDataFrame([(g, i) for g, k in sizes.items() for i in range(k)] + [(None, 5)], "g string, v int")
+    want = {(g, i * k // n) for g, k in sizes.items() if k > n for i in range(n)} | {(g, i) for g, k in sizes.items() if k <= n for i in range(k)}
+    assert {(r.g, r.v) for r in R.balanced_sample(df, "g", [F.col("v")], n).collect()} == want
+
+
+def test_running_totals_go_on_across_partitions(spark):
+    df = spark.createDataFrame([("a", i, i % 3) for i in range(500)] + [("b", 1, None)], "g string, r int, cost long")
+    got = sorted((r.g, r.r, r.position, r.total) for r in R.positions(df, "g", [F.col("r")], cost="cost").collect())
+    run, want = 0, []
+    for i in range(500):
+        run += i % 3
+        want.append(("a", i, i + 1, run))
+    assert got == [*want, ("b", 1, 1, 0)]
 
 
 def brute_pack(text, limit):
