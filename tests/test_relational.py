@@ -1,6 +1,6 @@
-import pytest
 import math
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -140,7 +140,7 @@ def test_word_packing_overlaps_and_sections(spark):
     chunks = spark.createDataFrame([(text,)], "t string").select(chunking.pack_words(F.col("t"), 20, 5).alias("c")).first().c
     assert all(len(c.split()) <= 20 for c in chunks) and all(b.startswith(a.split(". ")[-1].rstrip(".")) for a, b in zip(chunks, chunks[1:]))
     df = spark.createDataFrame([(1, "intro\n# A\none\n## B\ntwo\n# C\nthree")], "id long, t string")
-    assert [(r.breadcrumb, r.body) for r in chunking.sections(df, "id", "t").orderBy("section").collect()] == [("", "intro"), ("A", "one"), ("A > B", "two"), ("C", "three")]
+    assert [(r.breadcrumb, r.body) for r in chunking.sections(df, "id", "t").orderBy("section").collect()] == [("Document", "intro"), ("A", "one"), ("A > B", "two"), ("C", "three")]
 
 
 def test_synonyms_leave_out_risky_short_folds(spark):
@@ -195,8 +195,6 @@ def test_requests_become_filters(spark):
     got = {r.id: (r.price_min, r.price_max) for r in spark.createDataFrame(asked, "id long, t string").select("id", *intent.prices(F.col("t"))).collect()}
     assert got == {1: (None, 1.5e6), 2: (5e5, None), 3: (1.4e6, 2.6e6), 4: (None, 5e5), 5: (1e6, None), 6: (None, None), 7: (None, None), 8: (None, 2e6)}
     assert intent.merge_filters({"city": "a", "star": 3}, {"city": "b", "star": None}) == {"city": "b", "star": 3}
-    import pytest
-
     with pytest.raises(ValueError):
         intent.check_request(top_k=51)
 
