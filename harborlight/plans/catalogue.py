@@ -209,6 +209,19 @@ def budget_suppression(spark, d):
     return a.select("id", intent.without_budget(found, F.concat(F.lit("ngân sách "), F.col("id").cast("string"), F.lit(" triệu"))).alias("concepts"))
 
 
+_PLAIN_REQUEST = f"regexp_replace({_plain_sql('request')}, '[ \\t\\n\\r\\f\\x{{0b}}]+', ' ', 'g')"
+_SAID = ("nhà tôi có 2 con", "hai vợ chồng đi nghỉ", "nhom 6 nguoi di choi", "đi công tác vài ngày", "cần nghỉ ngơi, xả stress", "có hồ bơi")
+
+
+@query(f"""WITH r AS (SELECT DISTINCT id, concat_ws('. ', title, [{', '.join(f"'{x}'" for x in _SAID)}][id % 6 + 1]) AS request FROM activities WHERE id IS NOT NULL), p AS (SELECT id, {_PLAIN_REQUEST} AS t FROM r)
+{' UNION ALL '.join(f"SELECT id, '{k}' AS purpose, trim(regexp_extract(t, '{p}', 0), ' ') AS evidence FROM p WHERE trim(regexp_extract(t, '{p}', 0), ' ') <> ''" for k, p in intent.PURPOSES.items())}""")
+def purpose_rules(spark, d):
+    """Purposes that requests speak of without naming them, with the words that say so; here titles with a request appended."""
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("id") % 6 + 1).cast("int"))
+    a = table(spark, d, "activities").where("id is not null").select("id", "title").dropDuplicates(["id"])
+    return a.select("id", F.explode(intent.purposes(F.concat_ws(". ", "title", said))).alias("purpose", "evidence"))
+
+
 _POOLS = {"desc": ("description", ("yên tĩnh", "hồ bơi")), "pol": ("array_join(policy_notes, ' ')", ("trẻ", "mèo", "đêm")), "amen": ("array_join(amenities, ' ')", ("hồ bơi", "wifi"))}
 _POOLS_SQL = " UNION ALL ".join(f"SELECT '{p}' AS pool, id, score, {' + '.join(f'CAST(contains(lower(coalesce({x}, {chr(39)*2})), {chr(39)}{w}{chr(39)}) AS INTEGER)' for w in ws)} AS hits FROM h" for p, (x, ws) in {"desc": ("description", _POOLS["desc"][1]), "pol": ("array_to_string(policy_notes, ' ')", _POOLS["pol"][1]), "amen": ("array_to_string(amenities, ' ')", _POOLS["amen"][1])}.items())
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import number_after, pattern_rules
+from ..functions.text import fold, number_after, pattern_rules
 from ..functions.values import lookup_number
 from ..operators.mining import greedy_concepts
 
@@ -22,6 +22,24 @@ UNITS = {"triệu": 1e6, "trieu": 1e6, "tr": 1e6, "million": 1e6, "nghìn": 1e3,
 ABOUT = 0.3
 
 
+# What people say of their company or purpose, folded; the first group of words that a request has is the evidence.
+_HOW_MANY = "(?:[0-9]{1,2}|mot|hai|ba|bon|nam|sau|bay|vai|may|dua|nhung)"
+PURPOSES = {
+    "PURPOSE_FAMILY": rf"{_HOW_MANY} +(?:con|be|chau|nhoc|em be|tre|nho)\b|\b(?:co con|vo con|chong con|con nho|con cai|em be|tre nho|tui nho|bon tre|cac be)\b",
+    "PURPOSE_ROMANTIC": r"\b(?:(?:hai )?vo chong(?: son| tre)|hai vo chong|voi (?:nguoi yeu|ban gai|ban trai)|ky niem (?:ngay )?cuoi|di hen ho|hai dua)\b",
+    "PURPOSE_GROUP": r"\b(?:(?:nhom|dam|hoi) ban|ca (?:nhom|hoi)|di voi ban be|(?:nhom|doan) [0-9]+ nguoi|[0-9]+ dua ban|team building)\b",
+    "PURPOSE_BUSINESS": r"\b(?:(?:di|chuyen) cong tac|(?:du|di) hoi (?:nghi|thao)|di hop|di cong chuyen)\b",
+    "PURPOSE_WELLNESS": r"\b(?:(?:can|muon) nghi ngoi|xa (?:stress|hoi)|(?:an|tinh) duong|duong suc)\b",
+}
+
+
+def purposes(text: Column) -> Column:
+    """The purposes that a request's folded text speaks of, each with the words that say so; an empty map for no text."""
+    plain = F.regexp_replace(fold(text, False), r"\s+", " ")
+    found = F.array(*(F.struct(F.lit(k).alias("key"), F.nullif(F.trim(F.regexp_extract(plain, p, 0)), F.lit("")).alias("value")) for k, p in PURPOSES.items()))
+    return F.map_from_entries(F.filter(found, lambda e: e["value"].isNotNull()))
+
+
 def _money(text: Column, cue: str) -> Column:
     """The sum of money after a cue, in units of one; a bare number has four digits or more."""
     units = "|".join(UNITS)
