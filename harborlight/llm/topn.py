@@ -75,7 +75,8 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], unique:
     next ones, so its count (one row a partition) is prefix-summed and added there. Only rows whose local position is
     ``n`` at most are kept on the way, a necessary condition.
 
-    Rows with a null in a group column take no part. Rows that repeat group, order columns and ``unique`` count once.
+    Rows with a null in a group column take no part. Rows that repeat group and ``unique`` and stand beside each other in
+    the order count once, so ``unique`` names all that tells rows apart, such as the score and the identifier.
     Ties in ``order`` go by ``unique`` ascending, so the result is deterministic. Smaller groups give all their rows; an
     empty table gives an empty one. Other columns are carried along, whatever their names.
     """
@@ -108,7 +109,7 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
     rooms = table(spark, sf_dir, "rooms").where("review_score is not null").select("hotel_id", "id", "review_score")
     hotels = table(spark, sf_dir, "hotels").where("review_score is not null").select("accommodation_type", "id", "review_score")
     best = F.col("review_score").desc()
-    a = top_n(rooms, ["hotel_id"], [best], ["id"], 3)
-    b = top_n(hotels, ["accommodation_type"], [best], ["id"], 10)
+    a = top_n(rooms, ["hotel_id"], [best], ["review_score", "id"], 3)
+    b = top_n(hotels, ["accommodation_type"], [best], ["review_score", "id"], 10)
     row = lambda kind, g: (F.lit(kind).alias("kind"), F.col(g).cast("string").alias("group_key"), F.col("id").alias("item_id"))
     return a.select(*row("room", "hotel_id")).unionAll(b.select(*row("hotel", "accommodation_type")))

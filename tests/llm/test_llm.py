@@ -36,6 +36,12 @@ def test_top_n_with_hot_groups_ties_and_repeats(spark, parts):
     assert {(r.g, r.id, r.position) for r in out.collect()} == brute_top(rows, 7) and out.count() == len(brute_top(rows, 7))
 
 
+def test_rows_that_differ_in_what_tells_them_apart_both_count(spark):
+    df = spark.createDataFrame([("a", 2.0, 1), ("a", 1.0, 1), ("a", 1.0, 1), ("a", 0.5, 2)], "g string, s double, id long")
+    got = [(r.s, r.id, r.position) for r in topn.top_n(df, ["g"], [F.col("s").desc()], ["s", "id"], 3).orderBy("position").collect()]
+    assert got == [(2.0, 1, 1), (1.0, 1, 2), (0.5, 2, 3)]
+
+
 def test_top_n_of_nothing_and_small_groups(spark):
     df = spark.createDataFrame([("a", 1.0, 1)], "g string, s double, id long")
     assert topn.top_n(df.limit(0), ["g"], [F.col("s").desc()], ["id"], 3).count() == 0
