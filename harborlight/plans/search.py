@@ -43,15 +43,15 @@ _BUILT: dict[tuple, Index] = {}
 def build_index(docs: DataFrame, key: str, text: str) -> Index:
     """The index of a table's texts, written to the shared folder once for each state of the table.
 
-    Postings lie in term order, so a reader of some terms skips the row groups of the others. Texts are tokenised once;
-    terms, keys and counts are all that is shuffled.
+    Postings lie in term order within each file, so a reader of some terms skips the row groups of the others. Terms, keys
+    and counts are all that is shuffled.
     """
     state = table_state(docs)
     if state and (state, key, text) in _BUILT:
         return _BUILT[(state, key, text)]
     index, lengths = postings(docs, key, text)
     lengths = write_shared(lengths, "lengths")
-    index = write_shared(index.repartitionByRange("term", key).sortWithinPartitions("term"), "postings")
+    index = write_shared(index.sortWithinPartitions("term"), "postings")
     frequencies = write_shared(index.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
     out = Index(index, lengths, frequencies, lengths.agg(F.count("*").alias("n_docs"), F.avg("n_terms").alias("avg_terms")))
     if state:
@@ -59,6 +59,22 @@ def build_index(docs: DataFrame, key: str, text: str) -> Index:
     return out
 
 
+_VECTORS: dict[tuple, DataFrame] = {}
+
+
+def build_vectors(docs: DataFrame, key: str, text: str, embedder: Callable[[Column], Column]) -> DataFrame:
+    """(key, v): the embeddings of a table's texts, written to the shared folder once for each state of the table and
+    embedder. Null keys and texts have none."""
+    state = table_state(docs)
+    known = (state, key, text, embedder)
+    if state and known in _VECTORS:
+        return _VECTORS[known]
+    out = write_shared(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, embedder(F.col(text)).cast("array<float>").alias("v")), "vectors")
+    if state:
+        _VECTORS[known] = out
+    return out
+
+
 def bm25(index: Index, key: str, queries: DataFrame, query_key: str, query_text: str, size: int, allowed: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_key, key, score, rank): the ``size`` best documents of each query by BM25 over its distinct terms.
 

@@ -230,8 +230,8 @@ def embed(text: Column) -> Column:
 def _near_texts(docs: DataFrame, asked: DataFrame, size: int, allowed: DataFrame | None = None, embedder: Callable[[Column], Column] = embed) -> DataFrame:
     """The documents nearest to each label; unlike BM25 the stand-in finds a word whatever its marks."""
     numbers = asked.select("concept_id", F.xxhash64("concept_id").alias("query"), embedder(F.col("label_vi")).alias("v"))
-    some = R.restrict(docs.where("text is not null"), allowed, "doc_id").select("doc_id", embedder(F.col("text")).alias("v"))
-    found = search.vector_search(some, "doc_id", "v", numbers, "query", "v", size).where("score > 0")
+    vectors = search.build_vectors(docs, "doc_id", "text", embedder)
+    found = search.vector_search(vectors, "doc_id", "v", numbers, "query", "v", size, allowed).where("score > 0")
     return found.join(numbers.select("concept_id", "query"), "query").select("concept_id", "doc_id", "score", "rank")
 
 
