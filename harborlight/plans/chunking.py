@@ -26,7 +26,7 @@ def pack_characters(text: Column, limit: int = 1000) -> Column:
         full = (s["buf"] != "") & (F.char_length(s["buf"]) + F.char_length(p) + 1 > limit)
         return F.struct(F.when(full, F.array_append(s["out"], s["buf"])).otherwise(s["out"]).alias("out"), F.when(full | (s["buf"] == ""), p).otherwise(F.concat_ws(" ", s["buf"], p)).alias("buf"))
 
-    whole = F.trim(F.regexp_replace(text, r"\s+", " "))
+    whole = F.trim(F.regexp_replace(text, r"\s{2,}|[\t-\r]", " "))
     packed = F.aggregate(sentences(whole), state, add, lambda s: F.filter(F.array_append(s["out"], s["buf"]), lambda c: c != ""))
     return F.when(whole.isNull() | (whole == ""), F.array().cast("array<string>")).when(F.char_length(whole) <= limit, F.array(whole)).otherwise(packed)
 
