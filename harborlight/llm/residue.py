@@ -237,14 +237,9 @@ LONGEST_RUN = 16
 
 def residual(line: str, known) -> Iterator[str]:
     """What is left of a folded line, from left to right, without the longest runs of words that are boilerplate, cut at
-    sentence ends."""
+    sentence ends, which may lie within a word where a script has no white space. What else is in ``known`` doesn't matter."""
     ends, start = [m.end() for m in _UNIT.finditer(line)] + [len(line)], 0
-    if not known:
-        for end in ends:
-            yield line[start:end]
-            start = end
-        return
-    words = [m.span() for m in re.finditer(r"\S+", line)]
+    words = [m.span() for m in re.finditer(r"\S+", line)] if known else []
     plain = [_numberless(line[a:b]) for a, b in words]
     i = 0
     while i < len(words):
@@ -260,15 +255,18 @@ def residual(line: str, known) -> Iterator[str]:
                 break
         else:
             i += 1
-    yield line[start:]
+    for end in ends:
+        if end > start:
+            yield line[start:end]
+            start = end
 
 
 def is_page(t: str, known, learned=frozenset()) -> bool:
     """Whether nothing but notices is left of a folded text, and at least one, once its title line and boilerplate are out.
 
-    ``known`` are hashes of the boilerplate lines of its host, ``learned`` those of lines with evidence that whole records
-    consist of, which pass with fewer of a notice's words. A sentence of such words alone is no content either. The first
-    sentence of content ends the search, so real texts cost little.
+    ``known`` are hashes of the boilerplate lines of its host, ``learned`` those of lines with evidence that whole records of
+    any host consist of, which pass with fewer of a notice's words. A sentence of such words alone is no content either. The
+    first sentence of content ends the search, so real texts cost little.
     """
     lines, found = [x for x in t.split("\n") if x.strip()], False
     for k, line in enumerate(lines):
@@ -313,7 +311,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _judge(known: dict[str, frozenset[int]] | None, learned: frozenset[int]):
-    """Keeps the pages; boilerplate is looked up by host, or, where there is too much of it, comes with each record."""
+    """Keeps the pages; boilerplate is looked up by host and learned lines in all, or, where there are too many, those that a
+    record has come with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +338,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(seen), pa.int64()), pa.array([host] * len(seen), pa.string()), pa.array([*seen], pa.int64())], names=["doc_id", "host", "line"])
 
 
-#: Boilerplate lines up to which they go with the code (16 bytes each); beyond it, they are joined.
+#: Boilerplate lines up to which they go with the code (16 bytes each); beyond it, they are joined, with the same result.
 MOST_KNOWN = 200_000
 
 
@@ -373,9 +372,12 @@ def find_residue(df: DataFrame, key: str, host: str, text: str, recurrent: int =
                 lists.setdefault(r.host, set()).add(r.line)
         whole = pages.mapInArrow(_judge({h: frozenset(v) for h, v in lists.items()}, frozenset(r.line for r in rows if r.own)), "doc_id long")
     else:
-        runs = pages.mapInArrow(_runs, "doc_id long, host string, line long").join(known, ["host", "line"])
-        held = runs.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("own"), F.col("line"))).alias("known"), F.collect_set(F.when(F.col("own"), F.col("line"))).alias("said"))
-        whole = pages.join(held, "doc_id", "left").select("doc_id", "host", "rest", "known", "said").mapInArrow(_judge(None, frozenset()), "doc_id long")
+        row = ["doc_id", "host"]  # rows that share both look up in the same lines
+        runs = pages.mapInArrow(_runs, "doc_id long, host string, line long").join(known.where("not own").select("host", "line"), ["host", "line"])
+        held = runs.groupBy(row).agg(F.collect_set("line").alias("known"))
+        lines = scan.where("page and not slot").select(*row, F.explode("lines").alias("line")).join(known.where("own").select("line").distinct(), "line")
+        said = lines.groupBy(row).agg(F.collect_set("line").alias("said"))
+        whole = pages.join(held, row, "left").join(said, row, "left").select(*row, "rest", "known", "said").mapInArrow(_judge(None, frozenset()), "doc_id long")
     return scan.where("slot").select("doc_id", F.lit("template").alias("reason")).unionByName(whole.select("doc_id", F.lit("page").alias("reason"))).distinct()
 
 

@@ -352,6 +352,25 @@ def test_the_counts_of_lines_by_host_decide(spark, monkeypatch, most):
     assert found() == {0, 1, 2, 3, 10} and found(recurrent=6) == set()
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_the_way_of_looking_boilerplate_up_changes_nothing(spark, monkeypatch, most):
+    monkeypatch.setattr(residue, "MOST_KNOWN", most)
+    menu, learned, real = "Salon open to every single guest today.", "Error on the river path page", "Breakfast by the river was lovely."
+    rows = [(i, "a", f"404 Not Found\n{menu}") for i in range(3)]
+    rows += [(10 + i, "a", learned) for i in range(3)] + [(13, "b", learned)]  # learned from one host, met in another
+    rows += [(20, "a", f"404 Not Found\n{menu}\n{real}"), (20, "b", f"404 Not Found\n{menu}")]  # an id in two hosts, boilerplate in one
+    rows += [(30 + i, host, "ページが見つかりません。ホテル桜の湯") for i, host in enumerate("ab")]  # cut within a word, with and without boilerplate
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in residue.find_residue(df, "doc_id", "source", "text").collect()} == {0, 1, 2, 10, 11, 12, 13, 30, 31}
+
+
+def test_sentences_are_cut_alike_whatever_boilerplate_there_is():
+    known = {residue._hash("nav # bar")}
+    for line, rest in [("ページ。ホーム", ["ページ。", "ホーム"]), ("nav 7 bar ページ。ホーム. x y", ["ページ。", "ホーム.", "x y"]), ("a b. c。nav 8 bar", ["a b.", "c。", "nav 8 bar"])]:
+        assert [u.strip() for u in residue.residual(line, known) if u.strip()] == rest
+    assert [*residue.residual("a b. c。d", ())] == [*residue.residual("a b. c。d", known)] == ["a b. ", "c。", "d"]
+
+
 # --- 1: languages
 
 SAMPLE = {
